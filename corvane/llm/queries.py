@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, tokenfile
+from . import bpe, exact_dedup, line_dedup, quality, simhash, tokenfile, warc
 from ._shared import read_table, scratch_path
 
 
@@ -31,7 +32,27 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_exact_dedup)}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), out)
+    found = warc.read_archives(spark.read.parquet(out), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), max_bits=4, shingle_words=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_exact_dedup, op5_quality_rules, op8_warc_round_trip, op9_line_dedup, op10_simhash)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
@@ -43,4 +64,21 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(body) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY body)
     """,
+    "op9_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+        ), numbered AS (
+            SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM lines
+        ), keyed AS (
+            SELECT doc_id, i, line,
+                   translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM numbered
+        ), common AS (
+            SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.k IS NOT NULL) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY doc_id
+    """,
 }
