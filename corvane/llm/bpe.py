@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from ._shared import text_column
 
-#: Words in each of the two generations that a Python worker remembers, about 150 MB in all.
-CACHE_WORDS = 350_000
+#: Words in each of the two generations that a Python worker remembers, about 250 MB in all.
+CACHE_WORDS = 600_000
 #: Longest word kept in the cache, in bytes.
 CACHE_BYTES = 64
 

@@ -17,6 +17,7 @@ output is dropped by its commit protocol.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -99,17 +100,19 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The tokenizers library with a memory of short pieces, for byte-level files
-    whose pre-tokenizer splits before every word.
-
-    A text is cut where the file's own pattern always cuts: before a word with
-    the space in front of it, and around other white space. Texts with special
-    tokens or white space beyond ASCII are encoded as a whole.
+    """The tokenizers library with a memory of short pieces.
+
+    A text is cut where the file's own pattern always cuts. Byte-level files cut
+    before a word with the space in front of it, and around other white space;
+    texts with special tokens or white space beyond ASCII are encoded as a
+    whole. Files with word ends drop white space, so pieces are what stands
+    between it; as they also lower the case, A-Z is lowered first where no
+    special token can be meant.
     """
 
     PIECES = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
     WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-    WORDS, BYTES = 350_000, 64
+    WORDS, BYTES = 600_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -120,6 +123,7 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self._by_word = bool(json.loads(self.library.to_str())["model"].get("end_of_word_suffix"))
         self._whole = re.compile(b"|".join([*(re.escape(x.encode()) for x in added), self.WIDE_SPACE.pattern]))
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
@@ -127,18 +131,18 @@ class LibraryEncoder:
     def encode_all(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         """Ids of each text as little-endian u4, ``end`` appended."""
         tail = b"" if end is None else struct.pack("<I", end)
-        cut = [None if self._whole.search(x) else self.PIECES.findall(x) for x in texts]
+        if self._by_word:
+            cut = [x.split() if b"<" in x else x.lower().split() for x in texts]
+        else:
+            cut = [None if self._whole.search(x) else self.PIECES.findall(x) for x in texts]
         found = [[] if c is None else list(map(self._new.get, c)) for c in cut]
-        missing: dict[bytes, bytes] = {}
+        missing: dict[bytes, bytes | None] = {}
         for c, f in zip(cut, found, strict=True):
             if None in f:
                 for i, ids in enumerate(f):
                     if ids is None and (piece := c[i]) not in missing:
-                        if (old := self._old.get(piece)) is not None:
-                            missing[piece] = old
-                        else:
-                            missing[piece] = b""
-        unknown = [p for p, ids in missing.items() if not ids]
+                        missing[piece] = self._old.get(piece)
+        unknown = [p for p, ids in missing.items() if ids is None]
         for p, e in zip(unknown, self.library.encode_batch_fast([p.decode("utf-8") for p in unknown], add_special_tokens=False), strict=True):
             missing[p] = np.array(e.ids, "<u4").tobytes()
         out = []
