@@ -32,7 +32,7 @@ def _without(column: Column, characters: str) -> Column:
 
 
 def measures(docs: DataFrame, text_name: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
+    """doc_id, stratum, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
     the helper counts n_lines, n_capitals and n_marks of every row.
 
     A text with no repeated 5-word window, told by the distinct count of window
@@ -42,12 +42,13 @@ def measures(docs: DataFrame, text_name: str = "text", stratum: str = "lang") ->
     """
     text = text_column(docs, text_name)
     label = F.coalesce(docs[stratum].cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
-    rows = docs.select(docs["doc_id"], label.alias("stratum"), text.alias("t"))
+    rows = docs.select(docs["doc_id"], label.alias("stratum"), text.alias("t"), F.xxhash64(text).alias("text_hash"))
     trimmed = F.btrim(F.col("t"), F.lit(ASCII_SPACE))
     space = F.lit(ASCII_SPACE)
     rows = rows.select(
         "doc_id",
         "stratum",
+        "text_hash",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+")).alias("w"),
         F.char_length(_without(F.col("t"), ASCII_SPACE)).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -56,7 +57,7 @@ def measures(docs: DataFrame, text_name: str = "text", stratum: str = "lang") ->
         F.filter(F.split("t", "\n"), lambda x: F.btrim(x, space) != "").alias("lines"),
     )
     rows = rows.select(
-        "doc_id", "stratum", "w", "word_chars", "n_symbols", "n_capitals", "n_marks",
+        "doc_id", "stratum", "text_hash", "w", "word_chars", "n_symbols", "n_capitals", "n_marks",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
@@ -71,7 +72,7 @@ def measures(docs: DataFrame, text_name: str = "text", stratum: str = "lang") ->
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).alias("last"))
     covered = F.aggregate("at", start, lambda acc, x: F.struct((acc["n"] + F.least(F.lit(5), x - acc["last"])).cast("long").alias("n"), x.alias("last")), lambda acc: acc["n"])
     return rows.select(
-        "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "stratum", "text_hash", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines", "n_capitals", "n_marks",
     )
 
@@ -129,4 +130,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, text_name: str = "text"
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     broken = F.array_compact(F.array(*[F.when(r > F.col(f"cutoff_{m}"), F.lit(m)) for m, r in ratios().items()]))
     judged = judged.withColumns({"base_failed": base, "rejected_by": broken})
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by", "text_hash")
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, text_name: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, all columns as they are."""
+    kept = quality_verdicts(docs, labels, text_name, stratum, alpha, delta).where("kept").select(F.col("doc_id").alias("__corvane_id"), F.col("text_hash").alias("__corvane_hash")).distinct()
+    base = docs.withColumn("__corvane_row_hash", F.xxhash64(text_column(docs, text_name)))
+    on = base["doc_id"].eqNullSafe(kept["__corvane_id"]) & (base["__corvane_row_hash"] == kept["__corvane_hash"])
+    return base.join(kept.hint("shuffle_hash"), on, "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, simhash, substring_dedup, tokenfile, warc
+from . import bpe, exact_dedup, html_extract, line_dedup, packing, quality, simhash, substring_dedup, tokenfile, warc
 from ._shared import read_table, scratch_path
 
 
@@ -33,7 +33,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality.quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "warc")
     warc.write_archives(read_table(spark, sf_dir, "pages"), out)
@@ -61,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), max_bits=4, shingle_words=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_exact_dedup, op4_substring_dedup, op5_quality_rules, op6_best_fit_packing, op8_warc_round_trip, op9_line_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_files, op3_exact_dedup, op4_substring_dedup, op5_quality_rules, op6_best_fit_packing, op7_html_extraction, op8_warc_round_trip, op9_line_dedup, op10_simhash)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
