@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import arbitrate, dedup, graph, identify, search, state, taxonomy, texts
+from .plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+MODULES = (arbitrate, dedup, graph, identify, search, state, taxonomy, texts)
 FLAGSHIP = "agg2_taxonomy_rollup"
+
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE", "QUERIES"]
