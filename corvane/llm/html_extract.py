@@ -28,6 +28,8 @@ from ._shared import text_column
 
 #: Labelled pages that the default model is fitted on.
 TRAINING_PAGES = 400
+#: Added to every feature's count.
+SMOOTHING = 0.02
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg math textarea".split())
@@ -49,7 +51,8 @@ class Node:
     label: int | None = None
     text: int = 0  # characters of the node and all below it
     linked: int = 0
-    ends: int = 0  # sentence ends
+    own: int = 0  # characters of its own blocks
+    ends: int = 0  # sentence ends in them
 
 
 @dataclass(slots=True)
@@ -75,6 +78,7 @@ def parse(source: str) -> Page:
                 page.blocks.append((at, text))
                 node = nodes[at]
                 node.text += len(text)
+                node.own += len(text)
                 node.linked += min(linked, len(text))
                 node.ends += text.count(". ") + text.count("? ") + text.count("! ") + (text[-1] in ".?!")
             linked = 0
@@ -144,7 +148,6 @@ def parse(source: str) -> Page:
         up = nodes[node.parent]
         up.text += node.text
         up.linked += node.linked
-        up.ends += node.ends
     return page
 
 
@@ -154,8 +157,8 @@ def features(node: Node) -> list[str]:
         f"tag {node.tag}",
         *(f"name {w}" for w in node.names),
         f"linked {-1 if share < 0 else (share > 2) + (share > 6)}",
-        f"length {min(4, len(str(node.text // 10)))}",
-        f"ends {min(2, node.ends)}",
+        f"length {min(4, len(str(node.own // 10))) if node.own else 0}",
+        f"ends {min(2, node.ends) if node.own else -1}",
     ]
 
 
@@ -180,7 +183,7 @@ class Model:
                 total[labels[-1]] += 1
                 seen[labels[-1]].update(features(node))
         below = tuple((edges[p, 1] + 0.5) / (edges[p, 0] + edges[p, 1] + 1) for p in (0, 1))
-        weight = {f: log((seen[1][f] + 0.5) / (total[1] + 1)) - log((seen[0][f] + 0.5) / (total[0] + 1)) for f in {*seen[0], *seen[1]}}
+        weight = {f: log((seen[1][f] + SMOOTHING) / total[1]) - log((seen[0][f] + SMOOTHING) / total[0]) for f in {*seen[0], *seen[1]}}
         return cls(below, weight)
 
     def marginals(self, nodes: list[Node]) -> list[float]:
