@@ -1,27 +1,20 @@
-"""Stateful folds that no window expresses."""
+"""Stateful folds in closed form."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def crash_breaker(events: DataFrame, limit: int = 2) -> DataFrame:
-    """Per boot (boot, at, kind): crashes since the last success and whether the breaker is open.
+    """Per boot (boot, at, kind): the crash count and whether the breaker is open.
 
-    An error counts one; a preheat (``signup``) that is followed by an error counts two at once; a
-    success (``purchase``) resets. The breaker is open from ``limit`` on.
+    A crash (``error``) counts one. An explicit preheat (``signup``) clears the
+    count, and any crash after one sets it to the limit at once. Only crashes
+    since the last preheat matter, so two aggregations replace the fold.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        count, preheated, opened = 0, False, 0
-        for kind in rows.sort_values("at")["kind"]:
-            if kind == "error":
-                count += 2 if preheated else 1
-                opened += count >= limit
-            elif kind == "purchase":
-                count = 0
-            preheated = kind == "signup"
-        return pd.DataFrame({"boot": [rows["boot"].iloc[0]], "crashes": [count], "times_open": [opened], "is_open": [count >= limit]})
-
-    return events.groupBy("boot").applyInPandas(fold, "boot long, crashes long, times_open long, is_open boolean")
+    heat = events.groupBy("boot").agg(F.max(F.when(F.col("kind") == "signup", F.col("at"))).alias("heated"))
+    errors = events.where("kind = 'error'").join(heat, "boot").where(F.col("heated").isNull() | (F.col("at") > F.col("heated"))).groupBy("boot").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    count = F.when(F.col("heated").isNull(), n).when(n > 0, limit).otherwise(0).cast("long")
+    return heat.join(errors, "boot", "left").select("boot", count.alias("crashes"), (count >= limit).alias("is_open"))

@@ -48,7 +48,11 @@ def stm3_idle_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.min("ts").alias("first_active"), F.max("ts").alias("last_active"), F.count(F.lit(1)).alias("actions")).drop("session")
 
 
-@query()
+@query("""
+    WITH h AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN event_id END) AS heated FROM events GROUP BY 1),
+    n AS (SELECT h.user_id, h.heated, count(*) FILTER (e.event_type = 'error' AND (h.heated IS NULL OR e.event_id > h.heated)) AS n FROM h JOIN events e USING (user_id) GROUP BY 1, 2)
+    SELECT user_id AS boot, CASE WHEN heated IS NULL THEN n WHEN n > 0 THEN 2 ELSE 0 END AS crashes, CASE WHEN heated IS NULL THEN n WHEN n > 0 THEN 2 ELSE 0 END >= 2 AS is_open FROM n
+""")
 def stm4_crash_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("boot"), F.col("event_id").alias("at"), F.col("event_type").alias("kind"))
     return crash_breaker(events)

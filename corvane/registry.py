@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import arbitrate, dedup, graph, identify, search, state, taxonomy, texts
+from .plans import arbitrate, dedup, files, folds, graph, identify, search, state, taxonomy, texts
 from .plans.base import ORACLE, QUERIES
 
-MODULES = (arbitrate, dedup, graph, identify, search, state, taxonomy, texts)
+MODULES = (arbitrate, dedup, files, folds, graph, identify, search, state, taxonomy, texts)
 FLAGSHIP = "agg2_taxonomy_rollup"
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE", "QUERIES"]
