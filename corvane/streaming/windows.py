@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """hour, event_type, n, total; on a stream, hours close ``late`` after the latest event."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     counts = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return counts.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 

@@ -1,0 +1,151 @@
+"""Hand-made cases for scalar functions, trees, arbitration and state."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from corvane.functions import text as T
+from corvane.functions import vectors as V
+from corvane.operators import arbitration, chunks, cluster, folding, hashes, tree
+from corvane.operators.state import crash_breaker
+from corvane.plans import identify, texts
+from corvane.sources.files import list_files, optional, table_or_empty
+from corvane.streaming.windows import hourly, stream_table, write_hours
+
+
+def one(spark, value, column, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("y")).first().y
+
+
+def test_tag_verdicts(spark):
+    want = {
+        "": "R01", "　": "R01", "the": "R05", "人": "R07", "a1b2c3": "R04", "IMG20240101": "R04", "deadbeef": "R04", "12345": "R03", "--": "R03", "my_tag": "R04",
+        "null": "R09", "one two three four five": "R02", "latинский": "R11", "lat инский": "ok", "a, bcd, efg": "R01", "(draft)": "R01", "x\ufffdy": "R10", "ab\x01c": "R10",
+        "\ue000": "R10", "好吗": "R06", "such as this": "R06", "emoji 😀": "R01", "report": "ok", "日本語": "ok", "тест-test": "ok", "é": "ok", "今天天气很好我们去公园玩": "R02", "фильм": "ok",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "x string")
+    got = {r.x: r.v for r in rows.select("x", T.tag_verdict(F.col("x"), identify.STOPWORDS, identify.RESERVED, identify.FRAMES).alias("v")).collect()}
+    assert got == want
+
+
+def test_codes(spark):
+    assert one(spark, "  Café au_lait! ", T.slug(F.col("x"))) == "caf_au_lait"
+    assert one(spark, "发票", T.builtin_code(F.col("x"))).startswith("builtin.h_")
+    assert one(spark, "Tax Form", T.builtin_code(F.col("x"))) == "builtin.tax_form"
+    assert one(spark, "发票", T.extension_code(F.col("x"))).count(".") == 1
+    assert one(spark, "boxes", T.english_lemmas(F.col("x"))) == ["box", "boxe", "boxe"]
+    assert one(spark, "cities", T.english_lemmas(F.col("x"))) == ["city", "citi", "citie", "citie"]
+    assert one(spark, "a", T.english_lemmas(F.col("x"))) == []
+
+
+def test_page_marks(spark):
+    yes = ["Page", "## Page 3", "page 1 of 10", "PAGE: 3/9", "第 3 页", "第12页", "- 1 -", "— 7 —", "~2~"]
+    no = ["", "PageRank 3", "pages of history", "page_table 4", "12", "第页", "Page 3 is the one where all of it begins", "a - 1 -"]
+    rows = spark.createDataFrame([(x,) for x in yes + no], "x string").select("x", T.is_page_mark(F.col("x")).alias("y"))
+    assert {r.x for r in rows.collect() if r.y} == set(yes)
+
+
+def test_document_language(spark):
+    want = {0: "ja", 1: "ko", 2: "ru", 3: "zh", 4: "de", 5: "fr", 6: "es", 7: "en", 8: None, 9: None, 10: "th", 11: "vi", 12: "it", 13: "nl"}
+    cases = ["これはテスト", "한국어 문장", "Это русский текст", "这是中文文本", "Das ist nicht gut", "Les amis sont avec nous", "Los perros del campo", "Plain words only", "", "!", "สวัสดี", "Người Việt trong nhà", "sono anche qui", "het huis van ons"]
+    got = texts.languages(spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.language for r in got} == want
+
+
+def test_paths(spark):
+    heal = tree.healed_path(F.col("x"), F.lit("leaf"), "root", ["types"])
+    cases = {"/root/types/a": ["types", "a"], "/a/ b /a//c": ["root", "a", "b", "c"], "  ": ["root", "leaf"], "/root": ["root"], "/types/x": ["types", "x"], "/root/a/root": ["root", "a"]}
+    for path, want in cases.items():
+        assert one(spark, path, heal) == want
+    inside = tree.under_directory(F.col("x"), "C:\\a_b\\")
+    assert [one(spark, x, inside) for x in ("C:/a_b", "C:\\a_b\\c", "C:/aXb/c", "C:/a_bc")] == [True, True, False, False]
+
+
+def test_rollup_counts_distinct_files(spark):
+    facts = spark.createDataFrame([(1, "/r/a/b"), (1, "/r/a"), (2, "/r/a/b"), (2, "/r/a/b"), (3, "/r/c")], "id long, code_path string")
+    got = {r.code_path: (r.total_files, r.direct_files) for r in tree.rollup(facts).collect()}
+    assert got == {"/r": (3, 0), "/r/a": (2, 1), "/r/a/b": (2, 2), "/r/c": (1, 1)}
+
+
+def test_folding(spark):
+    rules = folding.FoldRules(reject=("bad",), hoist=("shell",), action=("do",))
+    facts = spark.createDataFrame([(1, "/r/shell/x"), (2, "/r/x"), (3, "/r/bad/x"), (4, "/r/do/p/q"), (5, "/r/do/s/q"), (6, "/r/shell")], "id long, p string")
+    got = {r.node: r.files for r in folding.folded_rollup(facts, tree.segments(F.col("p")), rules).collect()}
+    assert got == {"/r": 5, "/r/x": 2, "/r/do": 2, "/r/do/p": 1, "/r/do/s": 1, "/r/do/q": 2}
+
+
+def test_arbitration_of_nan_and_ties(spark):
+    nan = float("nan")
+    tags = spark.createDataFrame([(1, 1, "joy", "e", 0.9), (1, 2, "sad", "e", 0.9), (2, 1, "joy", "e", nan), (2, 2, "sad", "e", 0.7), (3, 1, "joy", "e", 0.5), (4, 1, "a", "s", 0.8), (4, 2, "b", "s", 0.8)], "file int, ordinal int, code string, dim string, confidence double")
+    assert {(r.file, r.code) for r in arbitration.opposition_losers(tags, [("joy", "sad")]).collect()} == {(1, "sad"), (2, "joy")}
+    assert {(r.file, r.code) for r in arbitration.above_threshold(tags).collect()} == {(1, "joy"), (1, "sad"), (2, "sad"), (4, "a"), (4, "b")}
+    assert {r.code for r in arbitration.single_select(tags.where("file = 4"), ["s"]).collect()} == {"a"}
+    scores = spark.createDataFrame([("g", "a", 0.9), ("g", "b", 0.7), ("h", "a", 0.9), ("h", "b", 0.88), ("i", "a", 0.3), ("j", "a", 0.9)], "g string, code string, c double")
+    assert {(r.g, r.code) for r in arbitration.winner_by_margin(scores, ["g"], 0.5, 0.1).collect()} == {("g", "a"), ("j", "a")}
+
+
+def test_vectors(spark):
+    assert abs(one(spark, [3.0, 4.0], V.norm(F.col("x")), "array<double>") - 5) < 1e-12
+    assert one(spark, [0.0, 0.0], V.cosine(F.col("x"), F.col("x")), "array<double>") is None
+    assert one(spark, [3.0, 4.0, 9.0], V.fit(F.col("x"), 2), "array<double>") == [0.6, 0.8]
+    assert one(spark, [3.0], V.fit(F.col("x"), 2), "array<double>") is None
+    assert one(spark, [1.0, -1.0, 0.004], V.quantise(F.col("x")), "array<double>") == [127, -127, 1]
+
+
+def test_hashes(spark):
+    rng = random.Random(1)
+
+    def slow(data):
+        h = len(data) * 31 % 2**64
+        for b in data[:65536] + (data[-65536:] if len(data) > 131072 else b""):
+            h = (h * 31 + b) % 2**64
+        return f"{h:016x}" if data else None
+
+    cases = [b"", b"a", bytes(rng.randrange(256) for _ in range(1000)), b"x" * 65536, b"y" * 131072, bytes(rng.randrange(256) for _ in range(140_000))]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, x binary")
+    got = {r.i: r.h for r in df.select("i", hashes.sampled_fingerprint("x").alias("h")).collect()}
+    assert got == {i: slow(c) for i, c in enumerate(cases)}
+    assert df.where("i = 1").select(hashes.fnv1a("x").alias("h")).first().h == "af63dc4c8601ec8c"
+
+
+def test_chunks():
+    assert chunks.chunks("") == [] and chunks.chunks("\n\n") == []
+    assert chunks.chunks("Short one, and two.") == ["Short one, and two."]
+    text = "床前明月光，疑是地上霜。举头望明月，低头思故乡。" * 5
+    parts = chunks.chunks(text)
+    assert "".join(parts) == text and all(len(p) <= 38 + chunks.TAIL for p in parts) and len(parts[0]) <= 20
+    words = " ".join(f"word{i}" for i in range(200))
+    assert " ".join(chunks.chunks(words)) == words and max(map(len, chunks.chunks(words))) <= 38 + chunks.TAIL
+
+
+def test_average_linkage():
+    v = np.array([[1, 0], [0.99, 0.05], [0, 1], [0.02, 1], [-1, 0]])
+    label = cluster.average_linkage(v, 0.4)
+    assert label[0] == label[1] != label[2] == label[3] != label[4] != label[0]
+    assert cluster.average_linkage(v[:1], 0.4).tolist() == [0]
+
+
+def test_crash_breaker(spark):
+    rows = [(1, 1, "error"), (1, 2, "error"), (2, 1, "error"), (3, 1, "error"), (3, 2, "signup"), (4, 1, "signup"), (4, 2, "error"), (5, 1, "view")]
+    got = {r.boot: (r.crashes, r.is_open) for r in crash_breaker(spark.createDataFrame(rows, "boot long, at long, kind string")).collect()}
+    assert got == {1: (2, True), 2: (1, False), 3: (0, False), 4: (2, True), 5: (0, False)}
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("hello")
+    found = list_files(spark, str(tmp_path)).collect()
+    assert [(r.name, r["size"]) for r in found] == [("x.txt", 5)]
+    assert table_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
+    assert spark.range(1).select(optional(spark.range(1), "zzz", 7)).first().zzz == 7
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
+    write_hours(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    closed = spark.read.parquet(str(tmp_path / "out"))
+    batch = {(r.hour, r.event_type): r.n for r in hourly(events).collect()}
+    stream = {(r.hour, r.event_type): r.n for r in closed.collect()}
+    assert stream and all(batch[k] == n for k, n in stream.items()) and len(stream) >= 0.8 * len(batch)
