@@ -124,8 +124,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     runs = LineRuns(spark, min_docs)
     for batch in range(batches):
         runs.add(keys.where(F.col("batch") == batch).select(*KEY))
+    frequent = materialize(runs.frequent(), "line-frequent")  # a join of written tables splits hot keys
     cuts = (
-        keys.join(runs.frequent(), KEY, "left_semi")
+        keys.join(frequent, KEY, "left_semi")
         .groupBy(ROW_ID, ROW_HASH)
         .agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias(CUT))
         .withColumnsRenamed({ROW_ID: ROW_ID + "_r", ROW_HASH: ROW_HASH + "_r"})

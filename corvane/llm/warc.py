@@ -130,6 +130,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, archive_bytes
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.encode(text_column(pages, "html"), "UTF-8").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     # Digests are aggregated without the payloads, which move once, to meet their group's first row.
     firsts = rows.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("all"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")).select("sha", F.coalesce("first", "all").alias("first"), F.lit(True).alias("shared"))
+    firsts = materialize(firsts, "warc-firsts")  # a join of written tables splits hot keys
     marked = rows.join(firsts, "sha", "left").select("page_id", "url", "payload", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +222,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     responses = whole.unionByName(_reassembled(parsed.where("segment IS NOT NULL"), with_payload))
     responses = materialize(responses, "warc-responses")
     known = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"))
+    known = materialize(known, "warc-known")
     revisits = parsed.where("record_type = 'revisit'").drop("payload_bytes").join(known, "refers_to_id", "left")
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*columns))
