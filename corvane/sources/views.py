@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -124,7 +122,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_files, tag_paths, file_tag_relations, tag_aliases, scored_tags, tag_nodes, tokens, words)}
-__all__ = ["SQL", "VIEWS", "slug", "table", "with_views"]
+__all__ = ["SQL", "VIEWS", "table", "with_views"]
 
 
 def with_views(body: str) -> str:
