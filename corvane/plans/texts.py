@@ -18,6 +18,12 @@ MIME = {
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
     "mp3": "audio/mpeg", "mp4": "video/mp4", "json": "application/json", "txt": "text/plain", "md": "text/plain",
 }
+# Types of files that can be previewed (fixed values).
+PREVIEW = {
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "avif": "image/avif",
+    "mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "ogv": "video/ogg", "ogg": "video/ogg", "mov": "video/quicktime",
+    "mp3": "audio/mpeg", "wav": "audio/wav", "flac": "audio/flac", "aac": "audio/aac", "m4a": "audio/mp4", "opus": "audio/opus",
+}
 # Words and letters that decide the language of a Latin-script text (fixed values).
 LANGUAGE_WORDS = {
     "vi": "của và người trong không được".split(),
@@ -230,3 +236,22 @@ def txt2_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech chunks of every turn."""
     turns = views.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return chunk_texts(turns)
+
+
+@query("""
+    WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
+    SELECT page_id, length(trim(regexp_replace(t, '[ \\t\\n\\r]+', ' ', 'g'))) AS n_chars FROM b
+""")
+def src7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visible text of a page, menus and all, by removing markup."""
+    bare = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>", " "), "<[^>]*>", " ")
+    return views.table(spark, sf_dir, "pages").select("page_id", F.char_length(F.trim(F.regexp_replace(bare, "[ \\t\\n\\r]+", " "))).cast("long").alias("n_chars"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'image/avif' WHEN page_id % 5 = 1 THEN 'video/quicktime' WHEN page_id % 5 = 2 THEN 'audio/mp4' WHEN page_id % 5 = 3 THEN 'image/jpeg' END AS preview FROM pages")
+def src9_preview_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of media that can be previewed; others have none."""
+    k = F.col("page_id") % 5
+    name = F.concat(F.lit("/a/File"), F.when(k == 0, ".AVIF").when(k == 1, ".mov").when(k == 2, ".m4a").when(k == 3, ".JPG").otherwise(".txt"))
+    known = F.create_map(*[F.lit(x) for kv in PREVIEW.items() for x in kv])
+    return views.table(spark, sf_dir, "pages").select("page_id", F.try_element_at(known, F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))).alias("preview"))
