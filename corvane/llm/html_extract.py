@@ -22,7 +22,6 @@ from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._shared import text_column
 
@@ -38,6 +37,7 @@ BLOCKS = frozenset("html head body title main article section div nav header foo
 ENDS_P = BLOCKS - frozenset("html head body title tr td th thead tbody tfoot caption option label button select".split())
 #: Elements that end an open element of their kind, up to the listed container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+FRAME = frozenset(("#root", "html", "body"))
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -164,10 +164,11 @@ def features(node: Node) -> list[str]:
 
 @dataclass
 class Model:
-    """``below[p]``: chance that a child of a node of label p is content; ``weight``: log
-    likelihood ratio of each feature."""
+    """``below[f][p]``: chance that a child of a node of label p is content, for parents inside the
+    page (f = 0) and for its frame, html and body (f = 1), which hold content and boilerplate side
+    by side; ``weight``: log likelihood ratio of each feature."""
 
-    below: tuple[float, float]
+    below: tuple[tuple[float, float], tuple[float, float]]
     weight: dict[str, float]
 
     @classmethod
@@ -179,27 +180,28 @@ class Model:
             labels = [1]
             for node in nodes[1:]:
                 labels.append(labels[node.parent] if node.label is None else node.label)
-                edges[labels[node.parent], labels[-1]] += 1
+                edges[nodes[node.parent].tag in FRAME, labels[node.parent], labels[-1]] += 1
                 total[labels[-1]] += 1
                 seen[labels[-1]].update(features(node))
-        below = tuple((edges[p, 1] + 0.5) / (edges[p, 0] + edges[p, 1] + 1) for p in (0, 1))
+        below = tuple(tuple((edges[f, p, 1] + 0.5) / (edges[f, p, 0] + edges[f, p, 1] + 1) for p in (0, 1)) for f in (0, 1))
         weight = {f: log((seen[1][f] + SMOOTHING) / total[1]) - log((seen[0][f] + SMOOTHING) / total[0]) for f in {*seen[0], *seen[1]}}
         return cls(below, weight)
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of every node, by sum-product on odds."""
-        (q0, q1), known = self.below, self.weight
-        low, high = 1e-30, 1e30
+        known, low, high = self.weight, 1e-30, 1e30
+        chance = [self.below[nodes[n.parent].tag in FRAME] for n in nodes]
         own = [exp(max(-40.0, min(40.0, sum(known.get(f, 0.0) for f in features(n))))) for n in nodes]
         own[0] = high  # the root stands above the page
         up = [1.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):  # children come after parents
-            o = own[i]
+            o, (q0, q1) = own[i], chance[i]
             up[i] = (o * q1 + 1 - q1) / (o * q0 + 1 - q0)
             p = nodes[i].parent
             own[p] = max(low, min(high, own[p] * up[i]))
         odds = own[:1]
         for i in range(1, len(nodes)):
+            q0, q1 = chance[i]
             rest = max(low, min(high, odds[nodes[i].parent] / up[i]))
             down = (rest * q1 + q0) / (rest * (1 - q1) + 1 - q0)
             odds.append(max(low, min(high, own[i] * down)))
