@@ -101,18 +101,25 @@ def jn14_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn18_reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest place within 500 km: a city up to 50 km, a province beyond.
 
-    Points and places meet in cells of five degrees of latitude; a place is
-    listed in every cell that 500 km around it can touch, so one equi-join finds
-    all candidates.
+    Points and places meet in cells of five degrees of latitude and ten of
+    longitude. A place is listed in every cell that 500 km around it can touch,
+    a point in its own, so one equi-join finds all candidates and the places
+    beyond reach never meet the point.
     """
     nation, customer = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "customer")
     places = nation.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 6.5 - 80).alias("lat"), (F.col("n_nationkey") * 13.0 - 160).alias("lng"))
     points = customer.select("c_custkey", (F.col("c_nationkey") * 6.5 - 80 + (F.col("c_custkey") % 7) * 0.2).alias("clat"), (F.col("c_nationkey") * 13.0 - 160 + (F.col("c_custkey") % 5) * 0.2).alias("clng"))
+    reach = 4.6  # degrees of latitude in 500 km, rounded up
     band = lambda c: F.floor((c + 90) / 5)
-    listed = places.withColumn("band", F.explode(F.sequence(band(F.col("lat") - 4.5), band(F.col("lat") + 4.5))))
+    cell = lambda c: F.floor((c + 180) / 10)
+    # Meridians draw together towards the poles; there every cell of the band is in reach.
+    edge = F.least(F.lit(89.9), F.abs("lat") + reach)
+    wide = F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(edge))))) + F.when(F.abs("lat") + reach >= 89.9, 180.0).otherwise(0.0))
+    listed = places.withColumn("band", F.explode(F.sequence(band(F.col("lat") - reach), band(F.col("lat") + reach))))
+    listed = listed.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("lng") - wide), cell(F.col("lng") + wide)), lambda x: F.pmod(x, F.lit(36))))))
     half = F.sin(F.radians(F.col("lat") - F.col("clat")) / 2) ** 2 + F.cos(F.radians("clat")) * F.cos(F.radians("lat")) * F.sin(F.radians(F.col("lng") - F.col("clng")) / 2) ** 2
     km = 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
-    best = points.withColumn("band", band(F.col("clat"))).join(listed, "band", "left").withColumn("km", km).groupBy("c_custkey").agg(F.min_by("name", "km").alias("name"), F.min("km").alias("km"))
+    best = points.withColumns({"band": band(F.col("clat")), "cell": F.pmod(cell(F.col("clng")), F.lit(36))}).join(listed, ["band", "cell"], "left").withColumn("km", km).groupBy("c_custkey").agg(F.min_by("name", "km").alias("name"), F.min("km").alias("km"))
     near = F.coalesce(F.col("km") <= 500, F.lit(False))
     return best.select("c_custkey", F.when(near, F.col("name")).alias("place"), F.when(near, F.round("km", 3)).alias("distance_km"), F.when(near & (F.col("km") <= 50), "city").when(near, "province").otherwise("none").alias("tier"))
 
