@@ -15,6 +15,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _scratch: dict[str, str] = {}
+_written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,13 +37,28 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
-def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; results that still read them must have been stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def materialize(df: DataFrame, tag: str, *partition_by: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation. With
+    ``release`` the driver collects its garbage afterwards, upon which Spark
+    deletes the shuffle files that led to the table; without it they would stay
+    on the executors' disks until the driver happens to run short of memory.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
@@ -50,6 +66,8 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
 

@@ -184,14 +184,15 @@ def removal_starts(docs: DataFrame, window: int = 20, text_name: str = "text") -
     # Minimisers that occur at two places or more, in documents that are no copies.
     places = marks.select("doc", "hash", "minimisers").dropDuplicates(["doc", "hash"]).join(copies, ["doc", "hash"], "left_anti")
     places = places.select("doc", "hash", F.explode("minimisers").alias("v"))
-    often = places.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
+    often = materialize(places.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v"), "passage-often", release=True)
     repeated = places.join(often, "v", "left_semi").groupBy("doc", "hash").agg(F.collect_set("v").alias("repeated"))
-    repeated = materialize(repeated, "passage-candidates")
+    repeated = materialize(repeated, "passage-candidates", release=True)
 
     found = rows.join(repeated.hint("shuffle_hash"), ["doc", "hash"]).select("doc", "hash", "text", "repeated")
-    windows = materialize(candidate_windows(found, window), "passage-windows")
+    windows = materialize(candidate_windows(found, window), "passage-windows", release=True)
     once = windows.where("NOT again")
     earliest = once.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    earliest = materialize(earliest, "passage-earliest", release=True)  # joins of written tables split hot keys
     later = once.join(earliest, ["h1", "h2"]).where("doc > first_doc").select("doc", "hash", "start")
     gone = windows.where("again").select("doc", "hash", "start").unionByName(later)
     starts = gone.groupBy("doc", "hash").agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
@@ -225,7 +226,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, text_name: str = "text",
     document, none of them earlier than the other; a null doc_id comes before
     all others. Columns whose names begin with ``__corvane_`` must not exist.
     """
-    starts = materialize(removal_starts(docs, window, text_name), "passage-starts").toDF(*NAMES)
+    starts = materialize(removal_starts(docs, window, text_name), "passage-starts", release=True).toDF(*NAMES)
     base = docs.withColumn(text_name, text_column(docs, text_name))
     base = base.withColumns({DOC + "_k": _doc(base), HASH + "_k": F.xxhash64(text_name)})
     on = (base[DOC + "_k"] == starts[DOC]) & (base[HASH + "_k"] == starts[HASH])
