@@ -112,7 +112,7 @@ class LibraryEncoder:
 
     PIECES = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
     WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-    WORDS, BYTES = 600_000, 64
+    WORDS, BYTES, JOINED = 600_000, 64, 2000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -125,9 +125,28 @@ class LibraryEncoder:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._by_word = bool(json.loads(self.library.to_str())["model"].get("end_of_word_suffix"))
         self._whole = re.compile(b"|".join([*(re.escape(x.encode()) for x in added), self.WIDE_SPACE.pattern]))
+        mark = "\u0120"  # stands for the space in front of a word
+        self._opens = np.array([(self.library.id_to_token(i) or "").startswith(mark) for i in range(self.vocab_size)])
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
+    def _encode_pieces(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each piece and its ids. Pieces of byte-level files that begin with a space are encoded
+        many at once, as one text, and told apart by the tokens that begin with a space."""
+        plain = pieces if self._by_word else [p for p in pieces if p[:1] != b" " or len(p) == 1]
+        spaced = [] if self._by_word else [p for p in pieces if p[:1] == b" " and len(p) > 1]
+        for k in range(0, len(spaced), self.JOINED):
+            part = spaced[k : k + self.JOINED]
+            ids = np.array(self.library.encode_batch_fast([b"".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            opens = (4 * np.flatnonzero(self._opens[ids])).tolist()
+            if len(opens) != len(part) or opens[0]:
+                plain += part
+                continue
+            data = ids.tobytes()
+            yield from zip(part, (data[a:b] for a, b in zip(opens, [*opens[1:], len(data)], strict=True)), strict=True)
+        for p, e in zip(plain, self.library.encode_batch_fast([p.decode("utf-8") for p in plain], add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, "<u4").tobytes()
+
     def encode_all(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         """Ids of each text as little-endian u4, ``end`` appended."""
         tail = b"" if end is None else struct.pack("<I", end)
@@ -143,8 +162,7 @@ class LibraryEncoder:
                     if ids is None and (piece := c[i]) not in missing:
                         missing[piece] = self._old.get(piece)
         unknown = [p for p, ids in missing.items() if ids is None]
-        for p, e in zip(unknown, self.library.encode_batch_fast([p.decode("utf-8") for p in unknown], add_special_tokens=False), strict=True):
-            missing[p] = np.array(e.ids, "<u4").tobytes()
+        missing.update(self._encode_pieces(unknown))
         out = []
         for x, c, f in zip(texts, cut, found, strict=True):
             if c is None:
