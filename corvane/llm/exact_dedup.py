@@ -90,7 +90,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     alike = groups.where("group_size > 1").select(*key)
 
     # Texts with company, cut into chunks; every chunk of a group must have one content.
-    members = marks.select("doc_id", *key).join(alike, key, "left_semi").distinct()
+    members = marks.select("doc_id", *key).distinct().join(alike, key, "left_semi")
     texts = docs.select(docs["doc_id"].alias("id"), F.encode(lower_ascii(text_column(docs)), "UTF-8").alias("body"))
     found = texts.join(members, texts["id"].eqNullSafe(members["doc_id"]) & (F.length(texts["body"]) == members["n_bytes"]))
     step = COMPARE_CHUNK
