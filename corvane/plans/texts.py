@@ -61,7 +61,8 @@ def languages(docs: DataFrame) -> DataFrame:
         "han": n("\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}"),
         "latin": n("A-Za-z\\x{C0}-\\x{24F}\\x{1E00}-\\x{1EFF}"),
     }
-    words = F.slice(F.filter(F.split("low", "[^\\p{IsAlphabetic}]+"), lambda w: w != ""), 1, 100)
+    # Of 102 parts the first may be empty and the last is the uncut rest; 100 words lie between.
+    words = F.slice(F.filter(F.split("low", "[^\\p{IsAlphabetic}]+", 102), lambda w: w != ""), 1, 100)
     rows = rows.select("doc_id", "low", words.alias("w"), F.char_length("c").alias("total"), *[x.alias(s) for s, x in scripts.items()])
     has = {x: F.arrays_overlap("w", F.array(*map(F.lit, ws))) | (F.col("low").rlike(f"[{LANGUAGE_LETTERS[x]}]") if x in LANGUAGE_LETTERS else F.lit(False)) for x, ws in LANGUAGE_WORDS.items()}
     rows = rows.select("doc_id", "total", *scripts, *[x.alias(lang) for lang, x in has.items()])
