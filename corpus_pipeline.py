@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, packing, quality, simhash, substring_dedup
+from corvane.llm import line_dedup, near_copies, packing, quality, substring_dedup
 from corvane.llm._shared import materialize, read_table
 from corvane.llm.queries import tokenizer_path
 
@@ -38,8 +38,8 @@ def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs, max_bits=4, shingle_words=4)
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the document with the smallest id stays."""
+    found = near_copies.near_copies(docs, percent=80, shingle_words=5)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__corvane_id")).distinct()
     return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__corvane_id"]), "left_semi")
 
