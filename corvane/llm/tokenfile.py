@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import text_column
+from .pieces import Memory, encode_texts, in_slices
 
 MAGIC = b"CVTOKENS"
 HEAD = struct.Struct("<8sIIQQ")
@@ -110,9 +111,8 @@ class LibraryEncoder:
     special token can be meant.
     """
 
-    PIECES = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
     WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-    WORDS, BYTES, JOINED = 600_000, 64, 2000
+    WORDS, BYTES, JOINED = 600_000, 64, 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -127,56 +127,44 @@ class LibraryEncoder:
         self._whole = re.compile(b"|".join([*(re.escape(x.encode()) for x in added), self.WIDE_SPACE.pattern]))
         mark = "\u0120"  # stands for the space in front of a word
         self._opens = np.array([(self.library.id_to_token(i) or "").startswith(mark) for i in range(self.vocab_size)])
-        self._new: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._memory = Memory(self.WORDS, self.BYTES)
 
-    def _encode_pieces(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each piece and its ids. Pieces of byte-level files that begin with a space are encoded
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece. Pieces of byte-level files that begin with a space are encoded
         many at once, as one text, and told apart by the tokens that begin with a space."""
-        plain = pieces if self._by_word else [p for p in pieces if p[:1] != b" " or len(p) == 1]
-        spaced = [] if self._by_word else [p for p in pieces if p[:1] == b" " and len(p) > 1]
-        for k in range(0, len(spaced), self.JOINED):
-            part = spaced[k : k + self.JOINED]
-            ids = np.array(self.library.encode_batch_fast([b"".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        out: list[bytes] = [b""] * len(pieces)
+        spaced = [] if self._by_word else [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and not self._whole.search(p)]
+        plain = set(range(len(pieces))).difference(spaced)
+        parts = [spaced[k : k + self.JOINED] for k in range(0, len(spaced), self.JOINED)]
+        texts = [b"".join([pieces[i] for i in part]).decode("utf-8") for part in parts]
+        for part, found in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             opens = (4 * np.flatnonzero(self._opens[ids])).tolist()
             if len(opens) != len(part) or opens[0]:
-                plain += part
+                plain.update(part)
                 continue
             data = ids.tobytes()
-            yield from zip(part, (data[a:b] for a, b in zip(opens, [*opens[1:], len(data)], strict=True)), strict=True)
-        for p, e in zip(plain, self.library.encode_batch_fast([p.decode("utf-8") for p in plain], add_special_tokens=False), strict=True):
-            yield p, np.array(e.ids, "<u4").tobytes()
+            for i, a, b in zip(part, opens, [*opens[1:], len(data)], strict=True):
+                out[i] = data[a:b]
+        rest = sorted(plain)
+        for i, found in zip(rest, self.library.encode_batch_fast([pieces[i].decode("utf-8") for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
+        return out
 
     def encode_all(self, texts: list[bytes], end: int | None = None) -> list[bytes]:
         """Ids of each text as little-endian u4, ``end`` appended."""
         tail = b"" if end is None else struct.pack("<I", end)
         if self._by_word:
-            cut = [x.split() if b"<" in x else x.lower().split() for x in texts]
+            cut, whole = [x if b"<" in x else x.lower() for x in texts], []
         else:
-            cut = [None if self._whole.search(x) else self.PIECES.findall(x) for x in texts]
-        found = [[] if c is None else list(map(self._new.get, c)) for c in cut]
-        missing: dict[bytes, bytes | None] = {}
-        for c, f in zip(cut, found, strict=True):
-            if None in f:
-                for i, ids in enumerate(f):
-                    if ids is None and (piece := c[i]) not in missing:
-                        missing[piece] = self._old.get(piece)
-        unknown = [p for p, ids in missing.items() if ids is None]
-        missing.update(self._encode_pieces(unknown))
-        out = []
-        for x, c, f in zip(texts, cut, found, strict=True):
-            if c is None:
-                out.append(np.array(self.library.encode(x.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes() + tail)
-            else:
-                if None in f:
-                    f = [missing[p] if ids is None else ids for p, ids in zip(c, f, strict=True)]
-                out.append(b"".join(f) + tail)
-        for p, ids in missing.items():
-            if len(p) <= self.BYTES:
-                if len(self._new) >= self.WORDS:
-                    self._old, self._new = self._new, {}
-                self._new[p] = ids
-        return out
+            whole = [i for i, x in enumerate(texts) if self._whole.search(x)]
+            cut = list(texts)
+            for i in whole:
+                cut[i] = b""
+        out = encode_texts(cut, not self._by_word, lambda pieces: self._memory.look_up(pieces, self._encode_pieces))
+        for i in whole:
+            out[i] = np.array(self.library.encode(texts[i].decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        return [x + tail for x in out] if tail else out
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -188,18 +176,6 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def in_slices(items: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for x in items:
-        part.append(x)
-        size += len(x)
-        if size >= limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column_name: str = "text") -> None:
     """Encode every text and write shard images to ``out`` in ascending id order.
 
