@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log
@@ -38,7 +38,9 @@ ENDS_P = BLOCKS - frozenset("html head body title tr td th thead tbody tfoot cap
 #: Elements that end an open element of their kind, up to the listed container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 FRAME = frozenset(("#root", "html", "body"))
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+UNQUOTED = re.compile(r"[^>\"']*")
+RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -61,10 +63,56 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text) in page order
 
 
-def parse(source: str) -> Page:
-    """The tree of block elements, parents first, and the text of each block."""
+def markup(source: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, attributes) of every tag, comment and declaration, in time linear in the
+    page. A name starts with / in end tags and is empty for what is no tag; the text of raw
+    elements belongs to their start tag.
+
+    A quoted value may hold >. Once a quote proves to be open until the end of the page, quotes
+    count no more. What has no > ahead is text, but for an open comment, which takes the rest.
+    """
+    at, last, quotes = 0, source.rfind(">"), True
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(source)
+            yield start, at, "", ""
+            continue
+        if start > last:
+            at = source.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        if source.startswith(("<!", "<?"), start):
+            at = source.find(">", start) + 1
+            yield start, at, "", ""
+            continue
+        name = NAME.match(source, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end = UNQUOTED.match(source, name.end()).end() if quotes else source.find(">", name.end())
+        while end < len(source) and source[end] != ">":
+            close = source.find(source[end], end + 1)
+            if close < 0:
+                break
+            end = UNQUOTED.match(source, close + 1).end()
+        if end >= len(source) or source[end] != ">":
+            quotes, end = False, source.find(">", name.end())  # there is one: ``last``
+        tag, attributes, at = name[0].lower(), source[name.end() : end], end + 1
+        if tag in RAW and not attributes.endswith("/"):
+            close = RAW_END[tag].search(source, at)
+            end = source.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else len(source)
+        yield start, at, tag, attributes
+
+
+def parse(source: str, labelled: bool = False) -> Page:
+    """The tree of block elements, parents first, and the text of each block; ``labelled`` reads
+    the labels of training pages."""
     page = Page([Node("#root", -1, [])])
-    nodes, open_tags, counts = page.nodes, [("#root", 0)], Counter()  # open_tags: (tag, its block node)
+    nodes, open_tags = page.nodes, [("#root", 0)]  # open_tags: (tag, its block node)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open tags of a name
     pieces: list[str] = []
     linked = 0
 
@@ -86,33 +134,26 @@ def parse(source: str) -> Page:
     def text_piece(raw: str) -> None:
         nonlocal linked
         pieces.append(html.unescape(raw) if "&" in raw else raw)
-        if counts["a"]:
+        if places["a"]:
             linked += len(raw.strip())
 
-    def pop() -> None:
-        tag = open_tags.pop()[0]
-        counts[tag] -= 1
+    def close_down_to(k: int) -> None:
+        while len(open_tags) > k:
+            places[open_tags.pop()[0]].pop()
 
     at = 0
-    while m := TAG.search(source, at):
-        if m.start() > at:
-            text_piece(source[at : m.start()])
-        at, name = m.end(), m[2]
-        if not name:
+    for start, end, tag, attributes in markup(source):
+        if start > at:
+            text_piece(source[at:start])
+        at = end
+        if not tag or tag in RAW:
             continue
-        tag = name.lower()
-        if m[1]:
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag in BLOCKS:
                 flush()
-            if counts[tag] > 0:
-                while open_tags[-1][0] != tag:
-                    pop()
-                pop()
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+            if places[tag]:
+                close_down_to(places[tag][-1])
             continue
         if tag == "br":
             pieces.append(" ")
@@ -121,26 +162,21 @@ def parse(source: str) -> Page:
             flush()
         if tag in VOID:
             continue
-        if tag in ENDS_P and counts["p"] > 0:
-            while open_tags[-1][0] != "p":
-                pop()
-            pop()
+        if tag in ENDS_P and places["p"]:
+            close_down_to(places["p"][-1])
         if tag in SIBLINGS:
-            same, stop = SIBLINGS[tag]
-            for k in range(len(open_tags) - 1, 0, -1):
-                if open_tags[k][0] in stop:
-                    break
-                if open_tags[k][0] in same:
-                    while len(open_tags) > k:
-                        pop()
+            same, stop = (max((places[t][-1] for t in kind if places[t]), default=-1) for kind in SIBLINGS[tag])
+            if same > stop:
+                close_down_to(same)
         if tag in BLOCKS:
-            found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
+            found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
             label = found.pop("data-label", None)
-            nodes.append(Node(tag, open_tags[-1][1], sorted({w for v in found.values() for w in WORD.findall(v.lower())}), label and int(label)))
+            names = sorted({w for v in found.values() for w in WORD.findall(v.lower())})
+            nodes.append(Node(tag, open_tags[-1][1], names, int(label) if labelled and label else None))
             open_tags.append((tag, len(nodes) - 1))
         else:
             open_tags.append((tag, open_tags[-1][1]))
-        counts[tag] += 1
+        places[tag].append(len(open_tags) - 1)
     if at < len(source):
         text_piece(source[at:])
     flush()
@@ -176,7 +212,7 @@ class Model:
         """From pages whose blocks carry data-label="0" or "1"; blocks without one take their parent's."""
         edges, seen, total = Counter(), (Counter(), Counter()), Counter()
         for source in pages:
-            nodes = parse(source).nodes
+            nodes = parse(source, labelled=True).nodes
             labels = [1]
             for node in nodes[1:]:
                 labels.append(labels[node.parent] if node.label is None else node.label)
@@ -298,7 +334,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
 def extract_pages(pages: DataFrame, model: Model | None = None, html_name: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null or empty html, and pages without content, give the empty text. Repeated
+    Null or empty html, and pages without content, give the empty text. Very long
+    and broken pages are parsed whole, in time linear in their length. Repeated
     rows are repeated; page_id and url pass through, null or not; other columns
     are not read. The model is a few hundred numbers, whatever the data.
     """
