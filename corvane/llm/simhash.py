@@ -14,7 +14,10 @@ of which every set of 8 - d positions contains one. A list longer than
 positions that contains its pair, and, if still longer, by four of the
 remaining eight half-bytes as well, after which 16 free bits bound it.
 Within a list no pairs are emitted; a search over the shrinking set of
-fingerprints not yet reached yields a spanning forest.
+fingerprints not yet reached yields a spanning forest. That search would be
+quadratic in a list of unlike fingerprints, so a list longer than
+``SEARCH_LIMIT`` is first grouped in memory by the further positions that its
+pairs must share.
 """
 
 from __future__ import annotations
@@ -34,23 +37,35 @@ from .components import connected_components
 SEED = 42
 #: Longest list handled by one task, in distinct fingerprints (half a megabyte).
 LIST_LIMIT = 1 << 16
+#: Fingerprints that are searched one against the other without a further index.
+SEARCH_LIMIT = 1 << 10
 
 
-def simhash(text: bytes, shingle_words: int = 4) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if set in over half the shingles' XXH64."""
+def shingle_hashes(text: bytes, shingle_words: int = 4) -> bytes:
+    """XXH64 of every shingle, repeats included, 8 bytes each; a shorter text is one shingle, a blank one has none."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle_words, len(words))
     starts = [0, *ends[: len(words) - k].tolist()]
     digest = xxhash.xxh64_digest
-    found = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(found, np.uint8).reshape(-1, 8), axis=1)
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)])
+
+
+def fingerprint(hashes: bytes) -> int:
+    """Signed 64-bit fingerprint: a bit is 1 if set in over half the hashes."""
+    if not hashes:
+        return 0
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).view(">i8")[0])
 
 
+def simhash(text: bytes, shingle_words: int = 4) -> int:
+    return fingerprint(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 4, text_name: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; null and blank texts have fingerprint zero."""
     rows = docs.select(docs["doc_id"], text_column(docs, text_name).alias("text"))
@@ -90,7 +105,7 @@ def _refined(mask: int, level: int, minimum: int) -> list[int]:
     return [mask | _mask(more, 4) for more in combinations(free, must)]
 
 
-def _forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def _forest(values: np.ndarray, max_bits: int) -> np.ndarray:
     """Edges of a spanning forest over fingerprints of one list. Each fingerprint
     is compared with those not yet reached only."""
     edges, rest = [], values
@@ -104,10 +119,42 @@ def _forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         near = _near(rest ^ at, max_bits)
         if near.any():
             found = rest[near]
-            edges += [(int(at), int(x)) for x in found]
+            edges.append(np.stack([np.full(len(found), at), found], axis=1))
             queue += list(found)
             rest = rest[~near]
-    return edges
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.uint64)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+
+
+def _group_edges(values: np.ndarray, first: np.ndarray, mask: np.ndarray, max_bits: int) -> np.ndarray:
+    """Edges that connect all pairs within ``max_bits`` bits in each group of ``values``; groups
+    begin at ``first``, the fingerprints of one agree on the bytes of its ``mask``."""
+    sizes = np.diff(np.r_[first, len(values)])
+    out = [np.zeros((0, 2), np.uint64)]
+    small, group = np.repeat(sizes <= 8, sizes), np.repeat(np.arange(len(first)), sizes)
+    for step in range(1, 8):  # small groups: compare neighbours, all groups at once
+        at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(values) > step else np.zeros(0, int)
+        if not len(at):
+            break
+        ok = at[_near(values[at] ^ values[at + step], max_bits)]
+        out.append(np.stack([values[ok], values[ok + step]], axis=1))
+    for k in np.flatnonzero(sizes > 8).tolist():
+        held, own = values[first[k] : first[k] + sizes[k]], int(mask[k])
+        free = [p for p in range(8) if not own >> (8 * p) & 255]
+        more = min(2, 8 - max_bits - (8 - len(free)))  # positions that a pair shares beyond the mask
+        if len(held) <= SEARCH_LIMIT or more < 1:
+            out.append(_forest(held, max_bits))
+            continue
+        for positions in combinations(free, more):
+            further = _mask(positions) % (1 << 64)
+            key = held & np.uint64(further)
+            order = np.argsort(key, kind="stable")
+            begin = _starts(key[order])
+            out.append(_group_edges(held[order], begin, np.full(len(begin), own | further, np.uint64), max_bits))
+    return np.concatenate(out)
 
 
 def _near(differ: np.ndarray, max_bits: int) -> np.ndarray:
@@ -125,26 +172,10 @@ def _list_edges(lists: DataFrame, max_bits: int) -> DataFrame:
 
         def edges_of(rows: np.ndarray) -> pa.RecordBatch:
             mask, key, fp = rows
-            values = fp.view(np.uint64)
             first = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-            sizes = np.diff(np.r_[first, len(fp)])
-            a_s, b_s = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            small = np.repeat(sizes <= 8, sizes)
-            group = np.repeat(np.arange(len(first)), sizes)
-            for step in range(1, 8):  # short lists: compare neighbours, all lists at once
-                at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(fp) > step else np.zeros(0, int)
-                if not len(at):
-                    break
-                ok = at[_near(values[at] ^ values[at + step], max_bits)]
-                a_s.append(values[ok])
-                b_s.append(values[ok + step])
-            for k in np.flatnonzero(sizes > 8).tolist():
-                if pairs := _forest(values[first[k] : first[k] + sizes[k]], max_bits):
-                    pairs = np.array(pairs, np.uint64)
-                    a_s.append(pairs[:, 0])
-                    b_s.append(pairs[:, 1])
-            a, b = np.concatenate(a_s).view(np.int64), np.concatenate(b_s).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found = _group_edges(fp.view(np.uint64), first, mask[first].view(np.uint64), max_bits).view(np.int64)
+            a, b = found.min(axis=1), found.max(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])], axis=1)
@@ -194,7 +225,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle_words: int = 4,
     fingerprints at ``max_bits`` or fewer differing bits. Rows without words have
     fingerprint zero and link like any other. Equal fingerprints are one node,
     whatever their number. Null ids take the id of their component (null if it
-    has no other); repeated rows are repeated in the result.
+    has no other); repeated rows are repeated in the result. Texts of any length
+    are read whole, other columns are not.
     """
     marks = materialize(fingerprints(docs, shingle_words, text_name), "simhash-marks")
     nodes = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
