@@ -1,20 +1,27 @@
 """Quality rules with risk-controlled thresholds, in DataFrame and SQL functions only.
 
 Each rule rejects a document whose measure exceeds a cutoff. Cutoffs are not
-set by hand: on labelled documents, per stratum, every cutoff of a fixed grid
-is tested with the exact binomial tail. With k of n good documents above the
-cutoff, the hypothesis "the rule rejects more than alpha of the good documents"
-is refused when P(Binomial(n, alpha) <= k) is at most delta divided by the
-number of all tests (Bonferroni over strata, measures and cutoffs). Of the
-cutoffs so certified, the one that catches the most bad documents is taken,
-and of equals the loosest; a measure that catches none has no rule. With
-probability 1 - delta no stratum then loses more than alpha of its good
-documents to any rule, hence at most ``len(MEASURES) * alpha`` in all.
+set by hand: in every stratum, of the labelled documents that pass the base
+rules, the cutoffs of a fixed grid are tested from the loosest to the
+strictest. With k of n good documents above a cutoff, the hypothesis "the rule
+rejects more than a of the good documents" is refused when P(Binomial(n, a) <=
+k) is at most d; testing a measure ends at the first cutoff that is not
+certified. As that order is fixed beforehand, one d covers all cutoffs of a
+measure.
+
+The risk ``alpha`` allowed to a stratum is split over its measures, and the
+confidence ``delta`` over all strata and measures, both by votes of the bad
+documents: each votes for the rule that catches it at the loosest cutoff.
+Good documents have no say in the split, so the tests stay valid, and a rule
+that catches nothing costs nothing. With probability 1 - delta no stratum
+loses more than alpha of its good documents to all its rules together. Of the
+certified cutoffs the one that catches the most bad documents is taken, and
+of equals the loosest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import ASCII_SPACE, UPPER, materialize, text_column
@@ -22,8 +29,8 @@ from ._shared import ASCII_SPACE, UPPER, materialize, text_column
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("symbols", "dup_lines", "repeats", "capitals", "marks")
 CUTOFFS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7)
-#: False rejections allowed to one rule in one stratum, and the chance of exceeding that anywhere.
-ALPHA, DELTA = 0.005, 0.05
+#: Share of good documents that the rules of a stratum may reject, and the chance of exceeding that anywhere.
+ALPHA, DELTA = 0.02, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 
@@ -82,38 +89,52 @@ def ratios() -> dict[str, Column]:
     return {"symbols": part("n_symbols", "word_chars"), "dup_lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words"), "capitals": part("n_capitals", "word_chars"), "marks": part("n_marks", "word_chars")}
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
+def binomial_tail(k: Column, n: Column, p: Column | float) -> Column:
     """P(Binomial(n, p) <= k), summed term by term in logarithms; 1 from the mean on, where
     no test can succeed, so that the work stays below n * p terms."""
-    first = n * F.log(F.lit(1 - p))
-    odds = F.log(F.lit(p / (1 - p)))
+    p = F.lit(p) if isinstance(p, float) else p
+    first = n * F.log(1 - p)
+    odds = F.log(p / (1 - p))
     start = F.struct(first.cast("double").alias("l"), F.exp(first).cast("double").alias("s"))
 
     def add(acc: Column, j: Column) -> Column:
         term = acc["l"] + F.log((n - j + 1) / j) + odds
         return F.struct(term.cast("double").alias("l"), (acc["s"] + F.exp(term)).cast("double").alias("s"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
+    steps = F.when((k >= 1) & (k < n * p), F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(steps, start, add, lambda acc: F.least(acc["s"], F.lit(1.0))))
 
 
 def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row (stratum, cutoff_<measure> ...) from rows of ``measures`` with a column ``good``."""
-    held = labelled.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), r.alias("value")) for m, r in ratios().items()])).alias("m"))
-    held = held.select("stratum", "good", "m.measure", "m.value")
+    """One row (stratum, cutoff_<measure> ...) from rows of ``measures`` with a column ``good``,
+    for every stratum with a certified cutoff."""
+    level = lambda r: F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: r > c))
+    each = [F.struct(F.lit(m).alias("measure"), r.alias("value"), level(r).alias("level"), F.lit(-i).alias("order")) for i, (m, r) in enumerate(ratios().items())]
+    rows = labelled.select("stratum", "good", F.array(*each).alias("ms"))
+    vote = F.array_max(F.transform("ms", lambda x: F.struct(x["level"].alias("level"), x["order"].alias("order"), x["measure"].alias("measure"))))
+    rows = rows.withColumn("vote", F.when(~F.col("good") & (vote["level"] > 0), vote["measure"]))
+    held = rows.select("stratum", "good", "vote", F.explode("ms").alias("m")).select("stratum", "good", "vote", "m.measure", "m.value")
     count = lambda good, c: F.sum(F.when((F.col("good") == good) & (F.col("value") > c), 1).otherwise(0))
     sums = held.groupBy("stratum", "measure").agg(
         F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("n"),
+        F.count(F.when(F.col("vote") == F.col("measure"), 1)).alias("votes"),
+        F.count("vote").alias("of_stratum"),
         *[count(g, c).alias(f"{'k' if g else 'b'}{i}") for i, c in enumerate(CUTOFFS) for g in (True, False)],
     )
-    each = sums.select("stratum", "measure", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("bad")) for i, c in enumerate(CUTOFFS)])).alias("c")).select("stratum", "measure", "n", "c.*")
-    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # strata x measures x cutoffs
-    each = each.withColumn("tests", tests).where((F.col("bad") > 0) & (F.col("n") > 0))
-    certified = each.where(binomial_tail(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("tests"))
+    sums = materialize(sums, "quality-sums")  # strata x measures rows
+    total = sums.agg(F.sum("votes")).first()[0] or 1
+    cuts = F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("bad")) for i, c in enumerate(CUTOFFS)])
+    tests = sums.where((F.col("votes") > 0) & (F.col("n") > 0)).select("stratum", "measure", "n", (F.lit(alpha) * F.col("votes") / F.col("of_stratum")).alias("a"), (F.lit(delta) * F.col("votes") / F.lit(total)).alias("d"), F.explode(cuts).alias("c"))
+    # k grows as cutoffs get stricter, so what is certified is where a test from the loosest on has not ended yet
+    certified = tests.select("stratum", "measure", "n", "a", "d", "c.*").where((F.col("bad") > 0) & (binomial_tail(F.col("k"), F.col("n"), F.col("a")) <= F.col("d")))
     best = certified.groupBy("stratum", "measure").agg(F.max_by("cutoff", F.struct("bad", "cutoff")).alias("cutoff"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"cutoff_{m}") for m in MEASURES])
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, text_name: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed, kept, and rejected_by.
 
@@ -121,15 +142,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, text_name: str = "text"
     document count as good only if all are. A null or blank text has no words
     and fails the base rule. A stratum without enough labels to certify any
     cutoff has the base rule only. Repeated rows are judged alike; a null doc_id
-    is unlabelled; a null stratum is one of its own.
+    is unlabelled; a null stratum is one of its own; texts of any length are
+    measured whole; other columns are not read.
     """
     marks = materialize(measures(docs, text_name, stratum), "quality-measures")
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    cutoffs = materialize(thresholds(marks.join(good, "doc_id"), alpha, delta), "quality-cutoffs").withColumnRenamed("stratum", "of")
+    holdout = marks.where(~base_failed()).join(good, "doc_id")
+    cutoffs = materialize(thresholds(holdout, alpha, delta), "quality-cutoffs").withColumnRenamed("stratum", "of")
     judged = marks.join(cutoffs, marks["stratum"] == cutoffs["of"], "left")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     broken = F.array_compact(F.array(*[F.when(r > F.col(f"cutoff_{m}"), F.lit(m)) for m, r in ratios().items()]))
-    judged = judged.withColumns({"base_failed": base, "rejected_by": broken})
+    judged = judged.withColumns({"base_failed": base_failed(), "rejected_by": broken})
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by", "text_hash")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import regex
@@ -89,3 +91,51 @@ def substring_dedup(rows: list[tuple[int, str | None]], window: int = 20) -> dic
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+MEASURES = ("symbols", "dup_lines", "repeats", "capitals", "marks")
+CUTOFFS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7)
+
+
+def tail(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) <= k) in exact fractions."""
+    q = Fraction(p)
+    return float(sum(comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(k + 1)))
+
+
+def quality_values(text: str | None) -> tuple[bool, list[float]]:
+    """Whether the base rules fail, and the measures."""
+    n_words, chars, symbols, dup_lines, repeats = base_counts(text)
+    lines = sum(1 for x in (text or "").split("\n") if WORD.search(x))
+    capitals, marks = (sum(c in kind for c in text or "") for kind in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!?"))
+    pairs = ((symbols, chars), (dup_lines, lines), (repeats, n_words), (capitals, chars), (marks, chars))
+    return n_words < 10 or 100 * repeats > 20 * n_words, [a / max(1, b) for a, b in pairs]
+
+
+def quality_kept(rows: list[tuple[int, str | None, str | None]], labels: dict[int, bool], alpha: float = 0.02, delta: float = 0.05) -> tuple[dict[int, bool], dict[str, dict[int, float]]]:
+    """The verdict on each (doc_id, text, stratum) and the cutoffs of each stratum."""
+    values = {i: quality_values(t) for i, t, _ in rows}
+    strata = defaultdict(list)
+    for i, _, s in rows:
+        if i in labels and not values[i][0]:
+            strata[s or ""].append(i)
+    votes = {}
+    for s, ids in strata.items():
+        votes[s] = Counter()
+        for i in ids:
+            levels = [sum(x > c for c in CUTOFFS) for x in values[i][1]]
+            if not labels[i] and max(levels):
+                votes[s][levels.index(max(levels))] += 1
+    total, cutoffs = sum(sum(v.values()) for v in votes.values()), {}
+    for s, ids in strata.items():
+        good, bad = [values[i][1] for i in ids if labels[i]], [values[i][1] for i in ids if not labels[i]]
+        cutoffs[s] = {}
+        for m, n in votes[s].items():
+            a, d, best = alpha * n / sum(votes[s].values()), delta * n / total, 0
+            for c in reversed(CUTOFFS):  # from the loosest on
+                k = sum(x[m] > c for x in good)
+                if not good or k >= len(good) * a or tail(k, len(good), a) > d:
+                    break
+                if (caught := sum(x[m] > c for x in bad)) > best:
+                    best, cutoffs[s][m] = caught, c
+    return {i: not values[i][0] and all(values[i][1][m] <= c for m, c in cutoffs.get(s or "", {}).items()) for i, _, s in rows}, cutoffs
