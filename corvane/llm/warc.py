@@ -8,6 +8,11 @@ orders them by segment number, verifies that none is missing and that the
 total length holds, and then decodes the chunked framing. Of records with
 equal payloads, all but one are revisit records that refer to it.
 
+What cannot be read does not end a job: a record that is cut off or malformed,
+a payload that does not have its digest or chunk framing, and a group of
+segments that is incomplete each give a row of type ``broken`` that says why;
+reading goes on at the next record.
+
 Archives are bounded images of standard records (WARC/1.1), stored by Spark's
 writer, one row each, because executors cannot open the cluster's file system.
 ``read_archives`` also takes the rows of Spark's binaryFile source, plain or
@@ -33,7 +38,10 @@ from ._shared import materialize, text_column
 ARCHIVE_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 4 << 20, 32 << 10, 8 << 10
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # for URLs, RFC 4122
-RECORD = "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, origin_id string, segment int, total_length long, block binary"
+RECORD = "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, origin_id string, segment int, total_length long, block binary, problem string"
+#: Compressed bytes inflated at a time.
+INFLATE_BYTES = 64 << 10
+MARK = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def digest32(payload: bytes) -> str:
@@ -53,8 +61,11 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
 def unchunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
-        end = body.index(b"\r\n", at)
-        n = int(body[at:end].split(b";")[0], 16)
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise ValueError("broken chunk")
+        n = int(size, 16)
         if n == 0:
             return b"".join(out)
         out.append(body[end + 2 : end + 2 + n])
@@ -98,25 +109,49 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, first_id:
     return out
 
 
-def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and blocks of an archive, plain or gzipped member by member."""
+def inflated(data: bytes) -> bytes:
+    """All gzip members of an archive, one after the other; of a member that is cut off or broken, and
+    of what follows it, as much as can be had. Each compressed byte is read once."""
+    parts, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        one = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not one.eof:
+                piece = view[at : at + INFLATE_BYTES]
+                parts.append(one.decompress(piece))
+                at += len(piece) - len(one.unused_data)
+        except zlib.error:
+            break
+    return b"".join(parts)
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (lower-case names), block and problem of each record of an archive, plain or gzipped
+    member by member. After a problem reading goes on at the next line that opens a record."""
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            one = zlib.decompressobj(31)
-            parts.append(one.decompress(data) + one.flush())
-            data = one.unused_data
-        data = b"".join(parts)
+        data = inflated(data)
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        n = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        end, fields, problem, n = data.find(b"\r\n\r\n", at), {}, None, 0
+        if not MARK.match(data, at):
+            problem = "not a record"
+        elif end < 0:
+            problem = "headers are cut off"
+        else:
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+            size = fields.get("content-length", "")
+            if not re.fullmatch("[0-9]{1,18}", size):
+                problem = "no length"
+            elif len(data) < end + 4 + (n := int(size)):
+                problem = "block is cut off"
+        if problem is None:
+            yield fields, data[end + 4 : end + 4 + n], None
+            at = end + 4 + n + 4
+        else:
+            yield fields, b"", problem
+            following = MARK.search(data, at + 1)
+            at = following.start() if following else len(data)
 
 
 def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -125,7 +160,8 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, archive_bytes
     Null html is an empty payload. Of rows with equal payloads of at least
     ``min_bytes`` bytes, that with the smallest page_id is the response (its
     repeated rows too), the others revisit it. Rows with a null page_id are
-    responses unless their payload has another row.
+    responses unless their payload has another row. Pages of any length are
+    written whole; other columns are not read.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.encode(text_column(pages, "html"), "UTF-8").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     # Digests are aggregated without the payloads, which move once, to meet their group's first row.
@@ -153,33 +189,44 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, archive_bytes
     marked.mapInArrow(run, "archive string, content binary").write.mode("overwrite").parquet(out)
 
 
-def _complete(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple[str, int, bytes | None]:
-    payload = payload_of(block)
-    digest = digest32(payload)
-    if fields.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
-        raise ValueError(f"payload digest of {fields['warc-record-id']} does not hold")
-    return digest, len(payload), payload if with_payload else None
+def _number(x: str | None, bits: int = 63) -> int | None:
+    return int(x) if x and re.fullmatch("-?[0-9]{1,18}", x) and abs(int(x)) < 1 << bits else None
+
+
+def _complete(digest: str | None, block: bytes, with_payload: bool) -> tuple[str | None, int | None, bytes | None, str | None]:
+    """Digest, length and payload of a whole block, and what is wrong with it."""
+    try:
+        payload = payload_of(block)
+    except ValueError as e:
+        return digest, None, None, str(e)
+    found = digest32(payload)
+    if digest not in (None, found):
+        return digest, None, None, "payload digest does not hold"
+    return found, len(payload), payload if with_payload else None, None
 
 
 def parse_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """Rows of RECORD for every record. Unsegmented responses are decoded at once, their
-    ``block`` is the payload if asked for; segments keep their raw block."""
+    ``block`` is the payload if asked for; segments keep their raw block. Records that cannot be
+    read are of type ``broken``, ``problem`` says why."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
-                for f, block in records_of(data):
-                    kind, own, segment = f["warc-type"], f["warc-record-id"], f.get("warc-segment-number")
+                for f, block, problem in records_of(data or b""):
+                    kind, own, segment = f.get("warc-type"), f.get("warc-record-id"), _number(f.get("warc-segment-number"), 31)
                     digest, n = f.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
-                    if kind == "response" and segment is None:
-                        digest, n, block = _complete(f, block, with_payload)
-                    elif kind == "revisit":
+                    if problem is None and (kind is None or own is None):
+                        problem = "no type or identifier"
+                    if problem is None and kind == "response" and segment is None:
+                        digest, n, block, problem = _complete(digest, block, with_payload)
+                    elif kind == "revisit" or problem is not None:
                         block = None
-                    page, total = f.get("x-page-id"), f.get("warc-segment-total-length")
-                    rows.append((kind, own, page and int(page), f.get("warc-target-uri"), digest, n, f.get("warc-refers-to"), f.get("warc-segment-origin-id", own if segment else None), segment and int(segment), total and int(total), block))
+                    kind = kind if problem is None else "broken"
+                    rows.append((kind, own, _number(f.get("x-page-id")), f.get("warc-target-uri"), digest, n, f.get("warc-refers-to"), f.get("warc-segment-origin-id", own if segment else None), segment, _number(f.get("warc-segment-total-length")), block, problem))
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -187,7 +234,8 @@ def parse_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame
 
 
 def _reassembled(segments: DataFrame, with_payload: bool) -> DataFrame:
-    """Whole responses from their segments. The segments of an origin are bounded by one page."""
+    """Whole responses from their segments. The segments of an origin are bounded by one page. A
+    group that lacks a segment or has another total length is ``broken``."""
     heads = F.max(F.when(F.col("segment") == 1, F.struct("page_id", "url", "payload_digest")))
     groups = segments.groupBy("origin_id").agg(
         heads.alias("head"),
@@ -203,26 +251,33 @@ def _reassembled(segments: DataFrame, with_payload: bool) -> DataFrame:
             for own, page, url, digest, copies, total, numbers, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block = b"".join(blocks)
                 if numbers != list(range(1, len(numbers) + 1)) or total != len(block):
-                    raise ValueError(f"segments of {own} are incomplete")
-                digest, n, payload = _complete({"warc-record-id": own, **({"warc-payload-digest": f"sha1:{digest}"} if digest else {})}, block, with_payload)
-                rows += [("response", own, page, url, digest, n, payload)] * copies  # repeated rows share their records
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record_type", "record_id", "page_id", "url", "payload_digest", "payload_bytes", "payload"])
+                    rows.append(("broken", own, page, url, digest, None, None, "segments are incomplete"))
+                    continue
+                digest, n, payload, problem = _complete(digest, block, with_payload)
+                rows += [("response" if problem is None else "broken", own, page, url, digest, n, payload, problem)] * copies  # repeated rows share their records
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record_type", "record_id", "page_id", "url", "payload_digest", "payload_bytes", "payload", "problem"])
 
-    return flat.mapInArrow(run, "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, payload binary")
+    return flat.mapInArrow(run, "record_type string, record_id string, page_id long, url string, payload_digest string, payload_bytes long, payload binary, problem string")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Pages from archives (a column ``content``): page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to and, if asked for, payload (null for revisits)."""
+    """Pages from archives (a column ``content``, null as empty): page_id, url, payload_bytes,
+    payload_digest, record_type, refers_to, problem and, if asked for, payload (null for revisits).
+
+    Records of other types than response, continuation and revisit are left out.
+    Broken records and groups have record_type ``broken``, the columns that
+    could be read, and no length; those of a continuation stand for its group
+    as well. A revisit of a record that is not there refers to null.
+    """
     parsed = materialize(parse_archives(archives, with_payload), "warc-records")
     names = ["record_type", "record_id", "page_id", "url", "payload_digest", "payload_bytes"]
-    whole = parsed.where("record_type = 'response' AND segment IS NULL").select(*names, F.col("block").alias("payload"))
-    responses = whole.unionByName(_reassembled(parsed.where("segment IS NOT NULL"), with_payload))
-    responses = materialize(responses, "warc-responses")
-    known = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"))
+    whole = parsed.where("record_type = 'broken' OR (record_type = 'response' AND segment IS NULL)").select(*names, F.col("block").alias("payload"), "problem")
+    pieces = parsed.where("record_type IN ('response', 'continuation') AND segment IS NOT NULL AND origin_id IS NOT NULL")
+    responses = materialize(whole.unionByName(_reassembled(pieces, with_payload)), "warc-responses")
+    known = responses.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"))
     known = materialize(known, "warc-known")
     revisits = parsed.where("record_type = 'revisit'").drop("payload_bytes").join(known, "refers_to_id", "left")
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem", *["payload"] * with_payload]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*columns))
