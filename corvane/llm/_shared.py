@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _scratch: dict[str, str] = {}
-_written: list[str] = []
+#: What each session has written: folders, and tables of the catalog with their folders.
+_written: WeakKeyDictionary[SparkSession, list[tuple[str, str | None]]] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,19 +38,33 @@ def scratch_root(spark: SparkSession) -> str:
     return _scratch["local"]
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
+def scratch_path(spark: SparkSession, tag: str, table: str | None = None) -> str:
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.setdefault(spark, []).append((path, table))
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far; results that still read them must have been stored."""
+def scratch_mark(spark: SparkSession) -> int:
+    """How much the session has written so far, for ``drop_scratch``."""
+    return len(_written.get(spark, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the intermediate tables that this session wrote between two marks; results that still
+    read them must have been stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    held = _written.get(spark, [])
+    gone = held[since:until]
     n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+    for name, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if name:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            n += bool(path.getFileSystem(conf).delete(path, True))
+    held[since:until] = [("", None)] * len(gone)  # marks taken later stay good
+    while held and held[-1] == ("", None):
+        held.pop()
     return n
 
 
@@ -71,6 +87,20 @@ def materialize(df: DataFrame, tag: str, *partition_by: str, release: bool = Fal
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
 
+def sorted_buckets(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets by ``keys``, each sorted by them, and read it back.
+
+    Joins and aggregations on ``keys`` with as many shuffle partitions as the
+    table has buckets need no exchange of it, and find each file in order.
+    """
+    spark = df.sparkSession
+    table = f"corvane_{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag, table)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,6 +7,10 @@ hold keys with their document counts. A batch's keys merge-anti-join the
 settled runs, so common lines are not counted again, and the rest becomes a
 run of its own at level 0. When a level is full its runs are merged into one
 of the next level; keys that reach the limit move to a settled run.
+
+A run is a table in sorted buckets by key. A batch's counts come out of their
+aggregation dealt the same way, so that the anti-join is a merge join that
+moves neither side.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, text_column
+from ._shared import materialize, sorted_buckets, text_column
 
 KEY = ["h1", "h2"]
 #: Names of the columns that the operator adds while it works.
@@ -35,45 +39,47 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
 
-    @staticmethod
-    def _sorted_run(rows: DataFrame, tag: str) -> DataFrame:
-        return materialize(rows.sortWithinPartitions(*KEY), tag)
-
-    def _unsettled(self, rows: DataFrame) -> DataFrame:
+    def unsettled(self, rows: DataFrame) -> DataFrame:
+        """``rows``, dealt by key, without the keys of the settled runs."""
         for run in self.settled:
-            rows = rows.join(run, KEY, "left_anti")
+            rows = rows.join(run.hint("merge"), KEY, "left_anti")
         return rows
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: one row (h1, h2) for each document and key."""
         counts = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"))
-        self.levels[0].append(self._sorted_run(self._unsettled(counts), "line-run"))
+        self.levels[0].append(sorted_buckets(self.unsettled(counts), "line-run", *KEY))
         level = 0
         while len(self.levels[level]) >= self.fan:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
-        merged = self._merge(self.levels[level])
-        merged = self._sorted_run(self._unsettled(merged), "line-merge")
+        merged = sorted_buckets(self._merge(self.levels[level]), "line-merge", *KEY)
         reached = merged.where(F.col("n_docs") >= self.min_docs).select(*KEY)
-        self.settled.append(self._sorted_run(reached, "line-settled"))
+        self.settled.append(sorted_buckets(reached, "line-settled", *KEY))
         if len(self.levels) == level + 1:
             self.levels.append([])
         self.levels[level] = []
         self.levels[level + 1].append(merged.where(F.col("n_docs") < self.min_docs))
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        """Counts of unsettled keys over several runs, by merge joins."""
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            joined = a.join(b.withColumnRenamed("n_docs", "more").hint("merge"), KEY, "full")
+            return joined.select(*KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
+
+        return reduce(both, map(self.unsettled, runs))
 
     def frequent(self) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents of all batches."""
+        """Keys found in at least ``min_docs`` documents of all batches, each once: no run holds
+        a key that another has settled before."""
         pending = [run for level in self.levels for run in level]
         parts = list(self.settled)
         if pending:
             parts.append(self._merge(pending).where(F.col("n_docs") >= self.min_docs).select(*KEY))
-        return reduce(DataFrame.unionByName, parts).distinct()
+        return reduce(DataFrame.unionByName, parts)
 
 
 def line_keys(docs: DataFrame, batches: int, text_name: str = "text", min_chars: int = 1) -> DataFrame:
@@ -116,10 +122,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     ``min_docs`` rows lose all their lines in every row. A null or empty text is
     one empty line and stays as it is (null becomes empty). Rows are told apart
     by doc_id and text: repeated rows each count as a document and lose the same
-    lines; a null doc_id is an id like any other. Columns whose names begin with
-    ``__corvane_`` must not exist.
+    lines; a null doc_id is an id like any other; texts of any length are read
+    whole. Columns of ``docs`` named n_lines or n_dropped give way to the result's;
+    columns whose names begin with ``__corvane_`` must not exist.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("n_lines", "n_dropped")
     keys = materialize(line_keys(docs, batches, text_name, min_chars), "line-keys", "batch")
     runs = LineRuns(spark, min_docs)
     for batch in range(batches):
