@@ -158,10 +158,10 @@ def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
                     hit[a:b] = np.isin(value[a:b], repeated[at + k].values.to_numpy())
                 first, doc = first[hit], doc[hit]
                 h1, h2 = words.rolled(window, B1)[first], (words.rolled(window, B3)[first] >> np.uint64(32)).astype(np.uint32)
-                order = np.lexsort((first, h1, doc))
+                order = np.lexsort((first, h2, h1, doc))
                 again = np.zeros(len(first), bool)
                 o1, o2 = order[:-1], order[1:]
-                again[o2[(doc[o1] == doc[o2]) & (h1[o1] == h1[o2])]] = True
+                again[o2[(doc[o1] == doc[o2]) & (h1[o1] == h1[o2]) & (h2[o1] == h2[o2])]] = True
                 owner = pa.array(doc + at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(owner), batch.column(1).take(owner), pa.array((first - words.bounds[:-1][doc]).astype(np.int32)), _signed(h1), pa.array(h2.view(np.int32)), pa.array(again)],
@@ -224,8 +224,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, text_name: str = "text",
     was removed, or everywhere with ``respace``; other texts stay as they are.
     Null and blank texts have no words. Rows with one doc_id count as one
     document, none of them earlier than the other; a null doc_id comes before
-    all others. Columns whose names begin with ``__corvane_`` must not exist.
+    all others; texts of any length are read whole. Columns of ``docs`` named
+    n_words or n_removed give way to the result's; columns whose names begin with
+    ``__corvane_`` must not exist.
     """
+    docs = docs.drop("n_words", "n_removed")
     starts = materialize(removal_starts(docs, window, text_name), "passage-starts", release=True).toDF(*NAMES)
     base = docs.withColumn(text_name, text_column(docs, text_name))
     base = base.withColumns({DOC + "_k": _doc(base), HASH + "_k": F.xxhash64(text_name)})
