@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import line_dedup, near_copies, packing, quality, substring_dedup
-from corvane.llm._shared import materialize, read_table
+from corvane.llm._shared import drop_scratch, materialize, read_table, scratch_mark
 from corvane.llm.queries import tokenizer_path
 
 TOKENIZER, CAPACITY = "word_bpe_49k.json", 2048
@@ -38,10 +38,9 @@ def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the document with the smallest id stays."""
-    found = near_copies.near_copies(docs, percent=80, shingle_words=5)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__corvane_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__corvane_id"]), "left_semi")
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the document with the
+    smallest id stays: op 10's index proposes, exact similarity verifies and completes."""
+    return near_copies.first_of_each(docs, percent=80, shingle_words=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages. What a stage wrote beside its result goes once the result is stored, and so does
+    the result once the next one is; the last stage's tables stay for whoever reads the rows."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        began = scratch_mark(spark)
+        result = stage(spark, docs, sf_dir)
+        ended = scratch_mark(spark)
+        docs = materialize(result, name.replace(" ", "-"))
+        drop_scratch(spark, began, ended)
+        if before is not None:
+            drop_scratch(spark, before, before + 1)
+        before = ended
     return STAGES[-1][1](spark, docs, sf_dir)

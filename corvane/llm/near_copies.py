@@ -1,17 +1,21 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash links, verified and completed by Jaccard similarity of word shingles.
+
+The byte-position index of ``simhash`` proposes links between fingerprints of
+the same shingles; those whose sets have the similarity stay. At a Jaccard
+similarity of 0.8 most pairs differ in more bits than byte positions can
+guarantee to find, so what the index misses is completed exactly:
 
 Two sets with a similarity of s or more share a member among the first
 n - ceil(s * n) + 1 of each, in any order common to all sets. These members are
-posted, so that every such pair meets in some list: an exact filter, unlike a
-radius in SimHash bits, which the byte positions of ``simhash`` reach up to 6
-only. The order is by hash, members of long lists last, so that a passage
-common to many documents is posted only by those that hold little else.
-
-Links are found in two rounds. The first verifies each document against a
-few of its lists where they share much, and joins what links. The second
-verifies the pairs of a list that are still in different components, as far as
-the members posted allow the similarity; a group of near copies is one component
-by then, so its pairs are not listed.
+posted, so that every such pair meets in some list. The order is by hash, with
+the members of the longest lists last, so that a passage common to many
+documents is posted only by those that hold little else. Which members those
+are decides the work only: any choice is an order.
+
+Each document is verified against the first and the last of its lists where
+they share much, and what links is joined. Then the pairs of a list that are
+still in different components are verified, as far as the members posted allow
+the similarity. Lists are aggregated and joined, never gathered in a row.
 """
 
 from __future__ import annotations
@@ -26,26 +30,30 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize, text_column
 from .components import connected_components
+from .simhash import SEED, fingerprint, near_edges, shingle_hashes
+
+#: Bytes kept of a member's hash.
+MEMBER_BYTES = 5
+#: Documents in a list beyond which its shingle may go last in the order, and how many shingles may (8 MB).
+HOT_LIST, HOT_MEMBERS = 128, 1 << 20
+#: Differing bits up to which the SimHash index proposes links.
+MAX_BITS = 4
+
+
+def members_of(hashes: bytes) -> np.ndarray:
+    """The set of the shingles' hashes, sorted, each cut to ``MEMBER_BYTES``."""
+    return np.unique(np.frombuffer(hashes, np.uint64) >> np.uint64(64 - 8 * MEMBER_BYTES)).view(np.int64)
+
 
-SEED = 42
-#: Documents in a list beyond which its shingle goes last in the order.
-HOT_LIST = 128
-#: Documents of a list that the others are verified against in the first round.
-PIVOTS = 8
+def packed(members: np.ndarray) -> bytes:
+    return members.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES].tobytes()
 
 
-def shingle_set(text: bytes, shingle_words: int = 5) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles; a shorter text is one shingle, a blank one has none."""
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    k = min(shingle_words, len(words))
-    starts = [0, *ends[: len(words) - k].tolist()]
-    digest = xxhash.xxh64_digest
-    found = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)])
-    return np.unique(np.frombuffer(found, np.int64))
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BYTES)
+    full = np.zeros((len(part), 8), np.uint8)
+    full[:, :MEMBER_BYTES] = part
+    return full.view("<i8").reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -54,22 +62,29 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int, text_name: str) -> DataFrame:
-    """(doc_id, sig, n, members) of every row; sig is a 64-bit hash of the set."""
-    rows = docs.select(docs["doc_id"], text_column(docs, text_name).alias("text"))
+    """(doc_id, text_hash, sig, n, fp, members) of every row; sig is a 64-bit hash of the set, fp the fingerprint."""
+    text = text_column(docs, text_name)
+    rows = docs.select(docs["doc_id"], F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = [shingle_set(x, shingle_words).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            sig = np.array([xxhash.xxh64_intdigest(x, SEED) for x in members], np.uint64).view(np.int64)
-            n = pa.array([len(x) // 8 for x in members], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), n, pa.array(members, pa.binary())], names=["doc_id", "sig", "n", "members"])
+            sig, n, fp, sets = [], [], [], []
+            for x in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(x, shingle_words)
+                members = members_of(hashes)
+                fp.append(fingerprint(hashes))
+                sets.append(packed(members))
+                n.append(len(members))
+                sig.append(xxhash.xxh64_intdigest(sets[-1], SEED))
+            columns = [pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "sig", "n", "fp", "members"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig long, n int, members binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, sig long, n int, fp long, members binary")
 
 
 def _posted(members: bytes, percent: int, hot: np.ndarray) -> tuple[np.ndarray, int, bool]:
     """Members that a set posts in the common order, its size and whether the last one is hot."""
-    x = np.frombuffer(members, np.int64)
+    x = unpacked(members)
     n, late = len(x), np.zeros(len(x), bool)
     if len(hot):
         late = np.isin(x, hot, assume_unique=True)
@@ -116,7 +131,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -124,33 +139,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-copies-links", release=True)
 
 
+def _differ(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, lo, hi) of the keys with more than one value."""
+    return rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo < hi")
+
+
+def simhash_links(sets: DataFrame, percent: int) -> DataFrame:
+    """The links of the byte-position index that have the similarity: between a set and the first of
+    its fingerprint, and between the first sets of near fingerprints."""
+    held = sets.where("n > 0").select("sig", "fp")
+    heads = materialize(held.groupBy("fp").agg(F.min("sig").alias("head")), "near-copies-heads")
+    same = held.join(heads, "fp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b")).distinct()
+    near = near_edges(heads.select("fp"), MAX_BITS).distinct()
+    for x in "ab":
+        near = near.join(heads.withColumnsRenamed({"fp": x, "head": f"head_{x}"}), x)
+    pairs = same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    return verified(materialize(pairs, "near-copies-pairs"), sets, percent)
+
+
 def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataFrame:
     """Edges (a, b) that connect all sets of a similarity of ``percent`` or more."""
+    proposed = simhash_links(sets, percent)
     sizes = postings(sets, percent, np.zeros(0, np.int64)).groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    long_lists = materialize(sizes.where(F.col("size") > hot_list).select("h"), "near-copies-hot", release=True)
-    hot = np.array([r[0] for r in long_lists.collect()], np.int64)  # at most postings / hot_list
+    longest = sizes.where(F.col("size") > hot_list).orderBy(F.desc("size"), "h").limit(HOT_MEMBERS)
+    hot = np.array([r[0] for r in longest.select("h").collect()], np.int64)
     about = materialize(facts(sets, percent, hot), "near-copies-facts")
-    lists = postings(sets, percent, hot).repartition("h").distinct().groupBy("h").agg(F.collect_list("sig").alias("held")).where(F.size("held") > 1)
-    lists = materialize(lists, "near-copies-lists", release=True)
-    shared = lists.select("h", F.explode("held").alias("sig"), F.slice(F.array_sort("held"), 1, PIVOTS).alias("pivots"))
+    lists = materialize(_differ(postings(sets, percent, hot), "h", "sig"), "near-copies-lists", release=True)
+    shared = postings(sets, percent, hot).join(lists, "h").distinct()
+    shared = materialize(shared, "near-copies-shared", release=True)
 
     def described(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(about.select(*[F.col(c).alias(x if c == "sig" else f"{c}_{x}") for c in about.columns]), x)
         return pairs
 
-    stars = shared.select(F.explode("pivots").alias("a"), F.col("sig").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    # most links show here already; what this leaves out meets in the second round
-    stars = described(stars).where("3 * shared >= least(posted_a, posted_b)").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    first = verified(materialize(stars.select("a", "b"), "near-copies-pairs"), sets, percent)
-    roots = connected_components(first).withColumnRenamed("node", "sig")
-    rows = shared.select("h", "sig").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    parts = rows.groupBy("h", "root").agg(F.collect_list("sig").alias("held"))
-    split = parts.groupBy("h").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h")
-    parts = materialize(parts.join(split, "h", "left_semi"), "near-copies-parts", release=True)
-    a, b = (parts.select("h", F.col("root").alias(f"root_{x}"), F.col("held").alias(f"held_{x}")) for x in "ab")
-    cross = a.join(b, "h").where("root_a < root_b").select(F.explode("held_a").alias("p"), "held_b").select("p", F.explode("held_b").alias("q"))
-    cross = cross.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    def with_roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        roots = connected_components(edges).withColumnRenamed("node", "sig")
+        return rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+    similar_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    stars = shared.select(F.explode(F.array("lo", "hi")).alias("p"), F.col("sig").alias("q")).where("p <> q")
+    stars = stars.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    # most links show here already; what this leaves out meets in the last round
+    stars = described(stars).where("3 * shared >= least(posted_a, posted_b)").where(similar_size)
+    first = verified(materialize(stars.select("a", "b"), "near-copies-pairs"), sets, percent).unionByName(proposed)
+    rows = materialize(with_roots(shared.select("h", "sig"), first).join(about.select("sig", "n"), "sig"), "near-copies-rows")
+    split = materialize(_differ(rows, "h", "root").select("h"), "near-copies-split", release=True)
+    parts = materialize(rows.join(split, "h", "left_semi"), "near-copies-parts", release=True)
+    a, b = (parts.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("sig", "root", "n")]) for x in "ab")
+    cross = a.join(b, "h").where("root_a < root_b").where(similar_size)
+    cross = cross.groupBy(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     # Up to the earlier of the two last members posted, ``shared`` counts all that the sets have in common.
     earlier = (F.col("late_a") < F.col("late_b")) | ((F.col("late_a") == F.col("late_b")) & (F.col("last_a") <= F.col("last_b")))
     most = F.col("shared") + F.when(earlier, F.col("n_a") - F.col("posted_a")).otherwise(F.col("n_b") - F.col("posted_b"))
@@ -161,15 +199,36 @@ def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataF
 
 
 def near_copies(docs: DataFrame, percent: int = 80, shingle_words: int = 5, text_name: str = "text", hot_list: int = HOT_LIST) -> DataFrame:
-    """(doc_id, component_id) of every row.
+    """(doc_id, text_hash, root, component_id) of every row; root tells the components apart.
 
     component_id is the smallest doc_id that links reach, links joining texts
     whose sets of shingles have a Jaccard similarity of ``percent`` or more.
-    Texts with equal sets are one node. Null ids take the id of their component.
+    Texts with equal sets are one node, those without words too. Null ids take
+    the id of their component (null if it has no other). text_hash is the XXH64
+    of the text, null as empty. Repeated rows are repeated, texts of any length
+    are read whole, other columns are not read.
     """
     sets = materialize(shingle_sets(docs, shingle_words, text_name), "near-copies-sets")
     nodes = sets.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(link_edges(sets, percent, hot_list)).withColumnRenamed("node", "sig")
     nodes = materialize(nodes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "near-copies-nodes")
     least = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return sets.select("doc_id", "sig").join(nodes.join(least, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+    found = materialize(nodes.join(least, "root").select("sig", "root", "component_id"), "near-copies-found")
+    return sets.select("doc_id", "text_hash", "sig").join(found, "sig").select("doc_id", "text_hash", "root", "component_id")
+
+
+def first_of_each(docs: DataFrame, percent: int = 80, shingle_words: int = 5, text_name: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``near_copies``: that of the smallest doc_id (null
+    last), of rows with one id the text of the smallest hash, of equal rows any one."""
+    found = materialize(near_copies(docs, percent, shingle_words, text_name), "near-copies-marks")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    kept = found.groupBy("root").agg(F.min(order).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__corvane_id"), F.col("k.text_hash").alias("__corvane_hash"))
+    kept = materialize(kept, "near-copies-kept", release=True)
+    base = docs.withColumn("__corvane_row_hash", F.xxhash64(text_column(docs, text_name)))
+    on = base["doc_id"].eqNullSafe(kept["__corvane_id"]) & (base["__corvane_row_hash"] == kept["__corvane_hash"])
+    rows = base.join(kept.hint("shuffle_hash"), on, "left_semi")
+    repeats = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeats.isEmpty():  # equal rows share their key
+        rows = rows.dropDuplicates(["doc_id", "__corvane_row_hash"])
+    return rows.select(*docs.columns)

@@ -69,6 +69,29 @@ def test_line_runs_compact_and_settle(spark):
     assert len(runs.levels[0]) == 1 and len(runs.settled) >= 1
 
 
+def test_settled_runs_are_merge_joined_without_moving(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=2)
+    for _ in range(2):
+        runs.add(spark.createDataFrame([(k, k) for k in range(50)], "h1 long, h2 long"))
+    assert runs.settled
+    counts = spark.createDataFrame([(k, k) for k in range(40, 60)], "h1 long, h2 long").groupBy("h1", "h2").count()
+    left = runs.unsettled(counts)
+    assert {r.h1 for r in left.collect()} == set(range(50, 60))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and "HashJoin" not in final
+    assert final.count("Exchange ") == 1  # of the batch's own aggregation
+
+
+@pytest.mark.parametrize("name", ["n_lines", "n_dropped", "N_Words", "n_removed"])
+def test_result_columns_replace_those_of_the_table(spark, name):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, text + "\nx"), (2, text)], "doc_id long, text string").withColumn(name, F.lit("own"))
+    lines = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(df, min_docs=2).collect()}
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df).collect()}
+    assert lines == {1: (2, 1), 2: (1, 1)} and words == {1: (31, 0), 2: (30, 30)}
+
+
 def test_substring_dedup(spark, documents):
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(60)]

@@ -50,8 +50,39 @@ def test_warc_segments_and_gzip(spark):
     plain = spark.createDataFrame([(bytearray(b"".join(records[:5])),), (bytearray(gzip.compress(records[5]) + gzip.compress(b"".join(records[6:]))),)], "content binary")
     r = warc.read_archives(plain).collect()
     assert [(x.page_id, x.payload_bytes, bytes(x.payload)) for x in r] == [(7, 100_000, b"x" * 100_000)]
-    with pytest.raises(Exception, match="incomplete"):
-        warc.read_archives(spark.createDataFrame([(bytearray(b"".join(records[:-1])),)], "content binary")).collect()
+    (cut,) = warc.read_archives(spark.createDataFrame([(bytearray(b"".join(records[:-1])),)], "content binary")).collect()
+    assert (cut.record_type, cut.payload_bytes, cut.problem) == ("broken", None, "segments are incomplete")
+
+
+def test_broken_records_are_reported_and_the_rest_is_read(spark):
+    page = lambda i, text: warc.page_records(i, f"http://a/{i}", text, i, "", False)[0]
+    good = [page(i, b"text %d" % i) for i in range(4)]
+    wrong_digest = page(7, b"abc").replace(b"abc", b"abd")
+    wrong_chunk = page(8, b"abc").replace(b"3\r\nabc", b"9\r\nabc")
+    no_length = good[0].replace(b"Content-Length", b"Content-Size").replace(b"X-Page-ID: 0", b"X-Page-ID: 9")
+    archives = [
+        good[0] + b"noise\r\n" + good[1],
+        good[2] + wrong_digest + wrong_chunk + no_length + good[3][:-30],
+        b"", b"\x1f\x8b nothing", None, gzip.compress(page(5, b"five")) + gzip.compress(page(6, b"six"))[:-12],
+        b"WARC/1.1\r\nWARC-Type: response",
+    ]
+    rows = warc.read_archives(spark.createDataFrame([(a and bytearray(a),) for a in archives], "content binary")).collect()
+    assert {r.page_id: bytes(r.payload) for r in rows if r.record_type == "response"} == {0: b"text 0", 1: b"text 1", 2: b"text 2", 5: b"five"}
+    broken = sorted((-1 if r.page_id is None else r.page_id, r.problem) for r in rows if r.record_type == "broken" and r.page_id != 6)
+    assert broken == [(-1, "headers are cut off"), (-1, "not a record"), (3, "block is cut off"), (7, "payload digest does not hold"), (8, "broken chunk"), (9, "no length")]
+    assert all(r.payload_bytes is None for r in rows if r.record_type == "broken")
+
+
+def test_archives_of_many_members_take_linear_time():
+    import time
+
+    member = gzip.compress(b"".join(warc.page_records(1, "u", random.Random(1).randbytes(2000), 1, "u", False)))
+    took = []
+    for n in (2_500, 10_000):
+        began = time.process_time()
+        assert sum(1 for _ in warc.records_of(member * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
 
 
 def test_warc_edge_tables(spark, tmp_path):
@@ -71,7 +102,7 @@ def model():
 def test_model_on_held_out_layouts(model):
     right = total = 0
     for source in html_extract.labelled_pages(80, seed=99):
-        page = html_extract.parse(source)
+        page = html_extract.parse(source, labelled=True)
         labels = [1]
         for node in page.nodes[1:]:
             labels.append(labels[node.parent] if node.label is None else node.label)
@@ -118,6 +149,73 @@ def test_extraction(spark, model):
     assert html_extract.extract_pages(pages_of([], spark)).count() == 0
 
 
+def test_labels_of_a_page_are_text_like_any_other(spark, model):
+    page = '<article><h1>Prices</h1><p>One sentence here. And another one.</p><table><tr><td data-label="Price">Ten euros</td><td data-label="1">x</td></tr></table></article>'
+    found = html_extract.extract_pages(pages_of([(1, "u", page)], spark)).first()
+    assert found.text == model.main_text(page) and found.text.startswith("Prices\nOne sentence here. And another one.")
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a "', "<a '", '<a ">"', "<a b='\">", "<!", "<!--", "<", "<p><b>", "<ul><li><b>", "<li></li><b>", "<script></script", "&"])
+def test_broken_pages_take_linear_time(bad):
+    """A megabyte each; one step more than linear would take minutes."""
+    import time
+
+    page = "<p>Hello there, one sentence.</p>" + bad * (1_000_000 // len(bad))
+    began = time.process_time()
+    assert html_extract.parse(page).blocks[0][1] == "Hello there, one sentence."
+    assert time.process_time() - began < 20
+
+
+def test_quotes_in_tags():
+    text = lambda x: [t for _, t in html_extract.parse(x).blocks]
+    assert text('<p title="a > b">x</p><p class=\'">"\'>y</p>') == ["x", "y"]
+    assert text('<p title="open>x</p><p>y</p>') == ["x", "y"]  # never closed: quotes do not count
+    assert text("<p>1 < 2 and <3</p>z <b") == ["1 < 2 and <3", "z <b"]
+    assert text("<p>a<!-- b <p>c") == ["a"] and text("<p>a<script>if (a<b) {</p>") == ["a"]
+
+
+#: Pages written by hand in the manner of common site builders: (page, main text).
+LAYOUTS = [
+    ("""<!doctype html><html lang=en><head><title>Harbour works | Gazette</title></head><body class="single-post">
+     <div id="masthead" class="site-header"><a href="/">Gazette</a><ul class="main-menu"><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></div>
+     <div id="primary" class="content-area"><main class="site-main"><article class="post hentry"><h1 class="entry-title">Harbour works begin</h1>
+     <div class="entry-content"><p>The first piles were driven on Monday, two months later than planned.</p><p>Work is to go on until autumn, the port office said. &ldquo;We are glad,&rdquo; said the harbour master.</p>
+     <h2>What changes</h2><ul><li>The northern quay is closed to visitors.</li><li>Ferries leave from the southern quay.</li></ul></div></article>
+     <div id="comments" class="comments-area"><h2>Two thoughts</h2><ol class="comment-list"><li class="comment"><p>About time that they began.</p></li></ol><form class="comment-form"><p>Leave a reply</p><textarea></textarea></form></div></main></div>
+     <div id="secondary" class="widget-area sidebar"><h3>Recent posts</h3><ul><li><a href="/1">Old bridge sold</a></li></ul></div>
+     <footer class="site-footer"><p>&copy; Gazette. All rights reserved.</p></footer></body></html>""",
+     ["Harbour works begin", "The first piles were driven on Monday, two months later than planned.", "Work is to go on until autumn, the port office said. “We are glad,” said the harbour master.", "What changes", "The northern quay is closed to visitors.", "Ferries leave from the southern quay."]),
+    ("""<html><body><nav class="navbar"><a href=/>Home</a> <a href=/docs>Docs</a></nav><main role="main"><h1>Install the tool</h1>
+     <p>Download the archive and unpack it. Then run the set-up script.</p><pre>tar xf tool.tar</pre><blockquote><p>Do not run it as root. It will refuse.</p></blockquote>
+     <p>After that the tool is ready to use.</p></main><aside><h3>On this page</h3><ul><li><a href="#a">Install</a></li></ul></aside>
+     <div class="cookie-banner"><p>We use cookies to improve the site.</p><button>Accept</button></div><footer><p>Built with care.</p></footer></body></html>""",
+     ["Install the tool", "Download the archive and unpack it. Then run the set-up script.", "tar xf tool.tar", "Do not run it as root. It will refuse.", "After that the tool is ready to use."]),
+    ("""<html><body><header><div class=logo>Kitchen Notes</div><nav><ul><li><a href=/r>Recipes</a><li><a href=/a>About</a></ul></nav></header>
+     <section class="recipe"><h1>Plum cake</h1><p>A cake for late summer, quick to make and good for days.</p><div class="ad-slot"><p>Buy the best pans now.</p></div>
+     <table><tr><th>Flour</th><td>300 g</td></tr><tr><th>Plums</th><td>one kilo</td></tr></table><p>Mix flour and butter. Lay the plums on top. Bake for an hour.</p></section>
+     <div class="related"><h3>You may also like</h3><a href=/x>Apple tart</a><a href=/y>Pear pie</a></div>
+     <form class="newsletter"><label>Your mail</label><input><button>Subscribe</button></form><div class="footer">&copy; Kitchen Notes</div></body></html>""",
+     ["Plum cake", "A cake for late summer, quick to make and good for days.", "Flour", "300 g", "Plums", "one kilo", "Mix flour and butter. Lay the plums on top. Bake for an hour."]),
+    ("""<html><body><div class="topbar"><a href=/login>Log in</a></div><div class="wrapper"><div class="breadcrumbs"><a href=/>Start</a> / <a href=/w>Wildlife</a></div>
+     <div class="article-body"><h1>The return of the beaver</h1><p>After two hundred years beavers live on the river again. They came on their own.</p>
+     <figure><img src=b.jpg><figcaption>A beaver at dusk, seen from the old mill.</figcaption></figure><p>Farmers along the banks are not all happy about it.</p></div>
+     <div class="share-buttons"><a href=/f>Share</a> <a href=/m>Mail</a></div></div><div id="footer"><p>Contact and imprint.</p></div></body></html>""",
+     ["The return of the beaver", "After two hundred years beavers live on the river again. They came on their own.", "A beaver at dusk, seen from the old mill.", "Farmers along the banks are not all happy about it."]),
+]
+
+
+def test_layouts_not_written_by_the_generator(model):
+    """Recall and precision by characters of blocks."""
+    hit = found = there = 0
+    for page, want in LAYOUTS:
+        got = model.main_text(page).split("\n")
+        hit += sum(len(x) for x in got if x in want)
+        found += sum(map(len, got))
+        there += sum(map(len, want))
+    print(f"recall {hit / there:.3f}, precision {hit / found:.3f}")
+    assert hit / there >= 0.95 and hit / found >= 0.95
+
+
 def test_extraction_of_the_pages_table(spark, model):
     import html
     import re
@@ -169,6 +267,42 @@ def test_thresholds_control_false_rejections(spark):
     assert all(few.values())  # too few labels to certify anything
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_query_equals_brute_force(spark, sf):
+    """The registered query over a whole table; the largest stratum of sf0.01 has a certified cutoff."""
+    from corvane.llm.queries import op5_quality_rules
+
+    folder = f"/root/testdata/{sf}"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{folder}/labels.parquet").collect():
+        labels[r.doc_id] = labels.get(r.doc_id, True) and r.quality == 1
+    want, cutoffs = brute.quality_kept(rows, labels)
+    found = op5_quality_rules(spark, folder).collect()
+    assert {r.doc_id: r.kept for r in found} == want and len(found) == len(rows)
+    if sf == "sf0.01":
+        assert cutoffs["en"] and any(r.rejected_by and not r.base_failed for r in found)
+
+
+def test_cutoffs_keep_the_risk_in_simulated_strata(spark):
+    """Every stratum draws labels anew; good documents exceed each cutoff with a known chance, and the
+    chance of a stratum whose certified cutoff rejects more than alpha must stay below delta."""
+    rng = random.Random(11)
+    trials, alpha, delta = 300, 0.05, 0.05
+    exceed = dict(zip(brute.CUTOFFS, (0.3, 0.2, 0.1, 0.06, 0.052, 0.04, 0.03, 0.02, 0.01, 0.0), strict=True))  # of good documents
+    rows = []
+    for t in range(trials):
+        for i in range(400):
+            good = i >= 40
+            u = rng.random()
+            value = max((c for c, p in exceed.items() if u < p), default=0.0) if good else brute.CUTOFFS[i % 10]
+            rows.append((f"s{t}", good, 1000, round(1000 * (value + 0.005))))
+    df = spark.createDataFrame(rows, "stratum string, good boolean, word_chars long, n_symbols long").withColumns({c: F.lit(0).cast("long") for c in ("n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_lines", "n_words")})
+    found = {r.stratum: r.cutoff_symbols for r in quality.thresholds(df, alpha, delta * trials).collect()}  # delta is split over the strata
+    wrong = sum(exceed[c] > alpha for c in found.values() if c is not None)
+    assert len(found) > trials / 2 and wrong <= trials * delta + 3 * (trials * delta * (1 - delta)) ** 0.5
+
+
 def test_pipeline_equals_brute_force(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

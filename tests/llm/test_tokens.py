@@ -147,3 +147,30 @@ def test_plan_is_near_the_lower_bound():
         large = sum(c for x, c in counts.items() if x > 1024)
         least = max(-(-sum(x * c for x, c in counts.items()) // 2048), large)
         assert plan.sequences <= least * 1.01 + 2
+
+
+def test_a_word_beyond_the_vocabulary_raises():
+    model = bpe.BpeModel(WORD)
+    with pytest.raises(ValueError, match="does not cover"):
+        model.encode_word("a☃")
+
+
+@pytest.mark.parametrize("keep_space", [True, False])
+def test_pieces_are_those_of_the_pattern(keep_space):
+    """Every piece is its own value: joined, they are the text; looked up, they are the pattern's."""
+    import regex
+
+    from corvane.llm.pieces import encode_texts
+
+    pattern = regex.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+" if keep_space else rb"[^ \t\n\r\x0b\x0c]+")
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab \n\t") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    number = {}
+
+    def look_up(pieces):
+        return [np.array([number.setdefault(p, len(number))], "<u4").tobytes() for p in pieces]
+
+    found = encode_texts(texts, keep_space, look_up)
+    name = {v: k for k, v in number.items()}
+    for x, ids in zip(texts, found, strict=True):
+        assert [name[i] for i in np.frombuffer(ids, "<u4").tolist()] == pattern.findall(x)
