@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._shared import text_column
+from .pieces import Memory, encode_texts, in_slices
 
 #: Words in each of the two generations that a Python worker remembers, about 250 MB in all.
 CACHE_WORDS = 600_000
@@ -89,8 +90,7 @@ class BpeModel:
                 word = symbols(token)
                 self._automaton.add_word(word, (len(word), i))
         self._automaton.make_automaton()
-        self._cache: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
+        self._memory = Memory(CACHE_WORDS, CACHE_BYTES)
 
     def _apart(self, a: int, b: int, formed: bool = False) -> bool:
         """Whether BPE over the two tokens' text leaves a boundary between them; formed:
@@ -135,6 +135,8 @@ class BpeModel:
             last[end], size[end] = token, length
         ids, at = [], n
         while at > 0:
+            if not size[at]:
+                raise ValueError("the vocabulary does not cover this word")
             ids.append(last[at])
             at -= size[at]
         ids.reverse()
@@ -162,28 +164,14 @@ class BpeModel:
                 ids += self._words(part)
         return array("I", ids).tobytes()
 
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. Words never span ASCII white space, so that each distinct
+        piece between it is encoded once and remembered."""
+        cut = [x if b"<" in x else x.lower() for x in texts]
+        return encode_texts(cut, False, lambda pieces: self._memory.look_up(pieces, lambda new: [self._encode_chunk(x) for x in new]))
+
     def encode(self, text: bytes) -> bytes:
-        """Words never span ASCII white space, so that encodings of the pieces between
-        it are remembered and joined."""
-        chunks = text.split() if b"<" in text else text.lower().split()
-        found = list(map(self._cache.get, chunks))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self._remembered(chunks[i])
-        return b"".join(found)
-
-    def _remembered(self, chunk: bytes) -> bytes:
-        ids = self._cache.get(chunk)
-        if ids is None:
-            ids = self._older.get(chunk)
-            if ids is None:
-                ids = self._encode_chunk(chunk)
-            if len(chunk) <= CACHE_BYTES:
-                if len(self._cache) >= CACHE_WORDS:
-                    self._older, self._cache = self._cache, {}
-                self._cache[chunk] = ids
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The file has no decoder: tokens as they stand in the vocabulary, one space between."""
@@ -204,14 +192,14 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     """(id, ids binary) of every row: ids as little-endian unsigned 32-bit integers.
 
     Null and empty texts give empty ids; repeated rows give repeated rows; other
-    columns are not read.
+    columns are not read; a text of any length is encoded whole.
     """
     rows = docs.select(docs[id_column].alias("doc_id"), text_column(docs, text_column_name).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            ids = [bpe.encode(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = [x for part in in_slices(batch.column(1).cast(pa.binary()).to_pylist()) for x in bpe.encode_all(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -233,18 +221,23 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; encodes and decodes in
-    one pass, so that ids and decoded texts never leave the worker."""
+    one pass, so that ids and decoded texts never leave the worker.
+
+    Null and empty texts have no tokens and the digests of nothing. Repeated rows
+    give repeated rows, a null doc_id is kept, other columns are not read. A text of
+    any length is encoded whole.
+    """
     rows = docs.select("doc_id", text_column(docs).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = model(path), hashlib.sha256
         for batch in batches:
             n, a, b = [], [], []
-            for x in batch.column(1).cast(pa.binary()).to_pylist():
-                ids = bpe.encode(x)
-                n.append(len(ids) // 4)
-                a.append(sha(ids).hexdigest())
-                b.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
+            for part in in_slices(batch.column(1).cast(pa.binary()).to_pylist()):
+                for ids in bpe.encode_all(part):
+                    n.append(len(ids) // 4)
+                    a.append(sha(ids).hexdigest())
+                    b.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from ._shared import materialize, text_column
+from .pieces import in_slices
 
 CAPACITY = 2048
 #: Pieces ranked by one task.
@@ -148,8 +149,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capaci
         model = bpe.model(tokenizer)
         for batch in batches:
             owner, piece, parts = [], [], []
-            for row, x in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = model.encode(x) + tail
+            encoded = (ids for part in in_slices(batch.column(1).cast(pa.binary()).to_pylist()) for ids in model.encode_all(part))
+            for row, ids in enumerate(encoded):
+                ids += tail
                 for k, a in enumerate(range(0, max(1, len(ids)), 4 * capacity)):
                     owner.append(row)
                     piece.append(k)
@@ -170,8 +172,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capa
     """Pieces of ``token_pieces`` plus sequence_id and offset.
 
     Null and empty texts are one piece that holds the end id. Repeated rows
-    have pieces of their own; a null doc_id is kept. Sequences are gapless from
-    offset 0 and hold at most ``capacity`` tokens.
+    have pieces of their own; a null doc_id is kept. Very long texts are cut into
+    pieces of ``capacity`` tokens. Sequences are gapless from offset 0 and hold at
+    most ``capacity`` tokens. Other columns are not read.
     """
     pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity, with_ids, text_name), "packing-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a length
