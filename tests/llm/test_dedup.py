@@ -38,14 +38,37 @@ def test_exact_duplicates(spark, documents):
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(ids), len(ids), i == max(ids), brute.sha(t))
 
 
-def test_equal_fingerprints_of_unequal_texts(spark, monkeypatch):
+def test_equal_fingerprints_of_unequal_texts(spark):
     rows = [(1, "abcd"), (2, "abce"), (3, "ABCD"), (4, "abcf"), (5, "abcfg")]
-    marks = exact_dedup.fingerprints
-    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: marks(d).withColumn("fp", F.lit(7).cast("long")))
-    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows)).collect()}
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows), hash_of=lambda x: (0, 7)).collect()}
     assert found == {1: (3, 2, False), 3: (3, 2, True), 2: (2, 1, True), 4: (4, 1, True), 5: (5, 1, True)}
 
 
+@pytest.mark.parametrize("size", [7, 64])
+def test_huge_texts_are_hashed_in_chunks(spark, monkeypatch, size):
+    """Chunks hashed apart and added up give the fingerprint of the whole; repeated rows stay repeated."""
+    rows = [(1, "A" * 200), (1, "A" * 200), (2, "a" * 200), (3, "größe " * 40), (None, "größe " * 40), (4, "short"), (5, ""), (6, None), (7, "x" * 64), (8, "X" * 65)]
+    monkeypatch.setattr(exact_dedup, "HUGE_BYTES", size)
+    found = exact_dedup.fingerprints(table(spark, rows)).collect()
+    want = []
+    for i, t in rows:
+        data = brute.lower(t or "").encode()
+        a, b = exact_dedup.fingerprint(data)
+        want.append((i or 0, a << 32 | b, len(data), brute.sha(brute.lower(t or ""))))
+    assert sorted((r.doc_id or 0, r.fp, r.n_bytes, r.text_sha256) for r in found) == sorted(want)
+    assert exact_dedup.exact_duplicates(table(spark, rows)).where("group_size = 3").count() == 3
+
+
+def test_filter_holds_all_that_have_company(spark):
+    rng = random.Random(9)
+    rows = [(rng.getrandbits(62), rng.randrange(1 << 30)) for _ in range(2000)]
+    held = exact_dedup.company_filter(spark.createDataFrame(rows, "fp long, n_bytes long"))
+    import numpy as np
+
+    at = exact_dedup._places(*(np.array(c, np.int64) for c in zip(*rows, strict=True)))
+    assert ((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all()
+
+
 def test_fingerprints_compose():
     rng = random.Random(1)
     data = bytes(rng.randrange(256) for _ in range(20_000))
