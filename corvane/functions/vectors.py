@@ -34,3 +34,21 @@ def fuse(a: Column, b: Column, wa: float = 0.60, wb: float = 0.40) -> Column:
 def quantise(a: Column) -> Column:
     """Components as bytes, -127 to 127."""
     return F.transform(a, lambda x: F.round(x.cast("double") * 127).cast("tinyint"))
+
+
+def sign_hash(a: Column) -> Column:
+    """One bit for each of up to 64 components: whether it is positive."""
+    powers = F.array(*[F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long") for k in range(64)])
+    bit = lambda x, i: F.when(x > 0, F.get(powers, i)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(a, bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
+def dequantise(a: Column) -> Column:
+    return F.transform(a, lambda x: x.cast("double") / 127)
+
+
+def hashed_words(text: Column, dim: int = 64) -> Column:
+    """Counts of words by a small hash: a vector of a text without any model."""
+    place = lambda w: (F.char_length(w) * 31 + F.ascii(w)) % dim
+    places = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-zà-ÿ]+)")), place)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))

@@ -37,7 +37,9 @@ def opposition_losers(tags: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
 
 def winner_by_margin(scores: DataFrame, group: list[str], least: float, margin: float) -> DataFrame:
     """Rows (group, code, c) whose score is the group's best, at least ``least``, and ahead of the second by ``margin``."""
-    top = scores.groupBy(*group).agg(F.min(F.struct((-F.col("c")).alias("c"), "code")).alias("t"), F.slice(F.reverse(F.array_sort(F.collect_list("c"))), 1, 2).alias("two"))
-    second = F.get("two", F.lit(1))
+    top = scores.groupBy(*group).agg(F.min(F.struct((-F.col("c")).alias("c"), "code")).alias("t"))
+    others = scores.join(top.select(*group, F.col("t.code").alias("__best")), group).where(F.col("code") != F.col("__best"))
+    top = top.join(others.groupBy(*group).agg(F.max("c").alias("__second")), group, "left")
+    second = F.col("__second")
     ok = (-F.col("t.c") >= least) & (second.isNull() | F.isnan(second) | (F.round(-F.col("t.c") - second, 6) >= margin))
     return top.where(ok).select(*group, "t.code")

@@ -88,8 +88,8 @@ def is_complete_json(c: Column) -> Column:
 
 
 def diverse_keywords(rows: DataFrame, k: int = 5, diversity: float = 0.5) -> DataFrame:
-    """(id, keywords) by maximal marginal relevance from (id, text): candidates are a text's words,
-    relevance is their share of it, similarity that of their letter trigrams."""
+    """(id, keywords) by maximal marginal relevance from (id, text): candidates are all of a text's words
+    of four letters or more, relevance is their share of it, similarity that of their letter trigrams."""
 
     def grams(word: str) -> set[str]:
         padded = f" {word} "
@@ -100,11 +100,14 @@ def diverse_keywords(rows: DataFrame, k: int = 5, diversity: float = 0.5) -> Dat
         counts = words[words.str.len() > 3].value_counts()
         if counts.empty:
             return []
-        names = sorted(counts.index, key=lambda w: (-counts[w], w))[:50]
+        names = sorted(counts.index, key=lambda w: (-counts[w], w))
         score, sets = np.array([counts[w] for w in names], float) / counts.iloc[0], [grams(w) for w in names]
         chosen: list[int] = []
+        near = np.zeros(len(names))
         while len(chosen) < min(k, len(names)):
-            near = np.array([max((len(s & sets[c]) / len(s | sets[c]) for c in chosen), default=0.0) for s in sets])
+            if chosen:  # the nearest of those chosen, one more each time
+                last = sets[chosen[-1]]
+                near = np.maximum(near, [len(s & last) / len(s | last) for s in sets])
             gain = (1 - diversity) * score - diversity * near
             gain[chosen] = -np.inf
             chosen.append(int(gain.argmax()))

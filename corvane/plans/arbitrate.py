@@ -85,21 +85,15 @@ def rnk6_confident_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("file", F.explode("ts").alias("t")).select("file", "t.code", "t.dim")
 
 
-@query("SELECT file, list_distinct(list_concat(list(code ORDER BY ordinal) FILTER (dim = 'F'), list(code ORDER BY ordinal) FILTER (dim = 'O'))) IS NOT NULL AS any_tags, count(DISTINCT code) AS codes FROM scored_tags GROUP BY 1")
+@query("""
+    WITH l AS (SELECT file, coalesce(list(code ORDER BY ordinal) FILTER (dim = 'F'), []) AS f, coalesce(list(code ORDER BY ordinal) FILTER (dim = 'O'), []) AS o FROM scored_tags GROUP BY 1),
+    m AS (SELECT file, list_concat(f, o) AS m FROM l)
+    SELECT file, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ' ') AS codes FROM m
+""")
 def set1_concat_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of several sources one after the other, each once, in order."""
     lists = views.scored_tags(spark, sf_dir).groupBy("file").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("dim") == d, F.struct("ordinal", "code")))), lambda x: x["code"]).alias(d) for d in ("F", "O")])
-    merged = F.array_distinct(F.concat("F", "O"))
-    return lists.select("file", F.lit(True).alias("any_tags"), F.size(merged).cast("long").alias("codes"))
-
-
-@query("""
-    SELECT code, CASE WHEN dim = 'F' THEN TRUE ELSE FALSE END AS multi, count(*) AS tags FROM scored_tags GROUP BY 1, 2
-""")
-def arb12_multi_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policies = spark.createDataFrame([("F", True), ("X", True)], "dim string, multi boolean")
-    rows = views.scored_tags(spark, sf_dir).groupBy("code", "dim").agg(F.count(F.lit(1)).alias("tags")).join(policies, "dim", "left")
-    return rows.groupBy("code", F.coalesce("multi", F.lit(False)).alias("multi")).agg(F.sum("tags").alias("tags"))
+    return lists.select("file", F.array_join(F.array_distinct(F.concat("F", "O")), " ").alias("codes"))
 
 
 @query("""

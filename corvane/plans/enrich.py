@@ -47,13 +47,13 @@ def str26_template_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT doc_id, lang, left(text, 300) AS t, length(text) AS n FROM documents WHERE doc_id % 2 = 0)
+    WITH d AS (SELECT doc_id, lang, text FROM documents)
     SELECT doc_id AS id, ['About ' || lang, 'Source'] AS headings FROM d
 """)
 def str27_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings in front of the texts are found, each once, page marks and front matter are not."""
-    docs = views.table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
-    body = F.concat(F.lit("# About "), "lang", F.lit("\n## Page 3\n# Contents\n## Source\n# Source\n"), F.regexp_replace("text", "(?m)^#", ""))
+    docs = views.table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("# About "), "lang", F.lit("\n## Page 3\n# Contents\n## Source\n# Source\n"), F.coalesce(F.regexp_replace("text", "(?m)^#", ""), F.lit("")))
     return docs.select(F.col("doc_id").alias("id"), E.outline(body).alias("headings"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.folding import FoldRules, fold_policy, folded_rollup
-from ..operators.tree import prefixes, segments
+from ..operators.tree import segments
 from ..sources import views
 from .base import query
 from .taxonomy import tagged_files
@@ -48,20 +48,6 @@ def agg5_same_name_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("parent", "name").agg(F.count_distinct("id").alias("files"))
 
 
-@query("""
-    WITH p AS (SELECT string_split(substr(code_path, 2), '/') AS s FROM tag_paths),
-    n AS (SELECT DISTINCT '/' || array_to_string(s[1:k], '/') AS node, CASE WHEN k > 1 THEN '/' || array_to_string(s[1:k-1], '/') END AS parent FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM p)),
-    c AS (SELECT parent, count(*) AS children FROM n WHERE parent IS NOT NULL GROUP BY 1)
-    SELECT n.node, coalesce(children, 0) AS children, coalesce(children, 0) = 1 AS collapses FROM n LEFT JOIN c ON c.parent = n.node
-""")
-def tre14_single_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes without files of their own and with one child are hoisted away."""
-    nodes = prefixes(views.tag_paths(spark, sf_dir).select("code_path")).select(F.col("code_path").alias("node"), "parent_path").distinct()
-    children = nodes.where("parent_path IS NOT NULL").groupBy(F.col("parent_path").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-    n = F.coalesce("children", F.lit(0))
-    return nodes.join(children, "node", "left").select("node", n.alias("children"), (n == 1).alias("collapses"))
-
-
 @query("""
     WITH r AS (SELECT leaf_code, path_id, path_id % 3 AS sort_order, CASE WHEN path_id % 2 = 0 THEN 'builtin' ELSE 'omw' END AS source FROM tag_paths),
     u AS (SELECT *, row_number() OVER (PARTITION BY leaf_code ORDER BY source, sort_order, path_id) AS k FROM r)

@@ -24,7 +24,7 @@ def jn7_ancestors_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CLOSURE.format(depth=64) + "SELECT ancestor, count(DISTINCT code) AS descendants, max(distance) AS height FROM (SELECT code, ancestor, min(distance) AS distance FROM up GROUP BY 1, 2) GROUP BY 1")
 def jn8_descendant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = ancestors(views.tag_nodes(spark, sf_dir), 8)
+    closed = ancestors(views.tag_nodes(spark, sf_dir), 64)
     return closed.groupBy("ancestor").agg(F.count_distinct("code").alias("descendants"), F.max("distance").alias("height"))
 
 
@@ -42,7 +42,7 @@ def jn9_hypernym_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH entries AS (SELECT tag_code AS synset, locale, lemma FROM tag_aliases),
-    asked AS (SELECT DISTINCT lemma AS word FROM tag_aliases WHERE n % 2 = 0),
+    asked AS (SELECT DISTINCT lemma AS word FROM tag_aliases),
     hits AS (SELECT DISTINCT a.word, e.synset, e.locale FROM asked a JOIN entries e ON lower(e.lemma) = lower(a.word)),
     chosen AS (SELECT word, synset FROM hits h WHERE locale = 'fr' UNION SELECT word, synset FROM hits h WHERE locale = 'en' AND NOT EXISTS (SELECT 1 FROM hits f WHERE f.word = h.word AND f.locale = 'fr'))
     SELECT c.word, c.synset, list_sort(list_distinct(list(e.lemma))) AS lemmas FROM chosen c JOIN entries e ON e.synset = c.synset GROUP BY 1, 2
@@ -50,7 +50,7 @@ def jn9_hypernym_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn10_lexical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synsets of a word in its language, in English where it has none, with their lemmas."""
     t = views.tag_aliases(spark, sf_dir)
-    asked = t.where("n % 2 = 0").select(F.col("lemma").alias("word")).distinct()
+    asked = t.select(F.col("lemma").alias("word")).distinct()
     hits = asked.join(t.select("tag_code", "locale", F.lower("lemma").alias("low")), F.lower("word") == F.col("low")).select("word", F.col("tag_code").alias("synset"), "locale").distinct()
     own, english = hits.where("locale = 'fr'"), hits.where("locale = 'en'")
     chosen = own.unionByName(english.join(own.select("word").distinct(), "word", "left_anti")).select("word", "synset").distinct()

@@ -51,8 +51,8 @@ def jn16_english_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH lexicon AS (SELECT word AS lemma, 'code.' || word AS code FROM words WHERE length(word) BETWEEN 3 AND 5),
-    w AS (SELECT word, strlen(word) AS n FROM words WHERE length(word) BETWEEN 5 AND 9),
+    WITH lexicon AS (SELECT word AS lemma, 'code.' || word AS code FROM words WHERE ascii(word) % 2 = 0),
+    w AS (SELECT word, strlen(word) AS n FROM words),
     c AS (SELECT word, 0 AS k, word AS form FROM w
           UNION ALL SELECT word, 2, left(word, length(word) - 2) FROM w WHERE ends_with(word, 'es') AND n > 3
           UNION ALL SELECT word, 3, left(word, length(word) - 1) FROM w WHERE ends_with(word, 'es') AND n > 3
@@ -68,8 +68,8 @@ def jn16_english_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str39_resolve_by_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word itself, else its first base form that the lexicon has."""
     words = views.words(spark, sf_dir)
-    lexicon = words.where(F.char_length("word").between(3, 5)).select(F.col("word").alias("form"), F.concat(F.lit("code."), "word").alias("code"))
-    forms = words.where(F.char_length("word").between(5, 9)).select("word", F.posexplode(F.concat(F.array("word"), T.english_lemmas(F.col("word")))).alias("k", "form"))
+    lexicon = words.where(F.ascii("word") % 2 == 0).select(F.col("word").alias("form"), F.concat(F.lit("code."), "word").alias("code"))
+    forms = words.select("word", F.posexplode(F.concat(F.array("word"), T.english_lemmas(F.col("word")))).alias("k", "form"))
     return forms.join(lexicon, "form").groupBy("word").agg(F.min_by("code", "k").alias("code"))
 
 
@@ -95,11 +95,11 @@ def agg8_canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT tag_code, max(CASE WHEN is_canonical THEN lemma END) AS canonical, list(lemma ORDER BY lemma) AS aliases FROM tag_aliases WHERE locale = 'en' GROUP BY 1
+    SELECT tag_code, locale, max(CASE WHEN is_canonical THEN lemma END) AS canonical, list(lemma ORDER BY lemma) AS aliases FROM tag_aliases GROUP BY 1, 2
 """)
 def agg20_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.tag_aliases(spark, sf_dir).where("locale = 'en'")
-    return rows.groupBy("tag_code").agg(F.max(F.when(F.col("is_canonical"), F.col("lemma"))).alias("canonical"), F.array_sort(F.collect_list("lemma")).alias("aliases"))
+    rows = views.tag_aliases(spark, sf_dir)
+    return rows.groupBy("tag_code", "locale").agg(F.max(F.when(F.col("is_canonical"), F.col("lemma"))).alias("canonical"), F.array_sort(F.collect_list("lemma")).alias("aliases"))
 
 
 @query("SELECT tag_code, locale, lemma FROM tag_aliases WHERE tag_code = 'builtin.brand_1' OR starts_with(tag_code, 'builtin.brand_1.')")
@@ -146,7 +146,7 @@ def jn17_alias_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH canon AS (SELECT tag_code, locale, min(lemma) AS canonical FROM tag_aliases WHERE is_canonical GROUP BY 1, 2),
-    asked AS (SELECT DISTINCT upper(lemma) AS word FROM tag_aliases WHERE n % 3 = 0)
+    asked AS (SELECT DISTINCT upper(lemma) AS word FROM tag_aliases)
     SELECT a.word, t.tag_code, t.locale, c.canonical, row_number() OVER (PARTITION BY a.word ORDER BY t.is_canonical DESC, t.n DESC, t.tag_code, t.locale) AS rank
     FROM asked a JOIN tag_aliases t ON lower(a.word) = lower(t.lemma) LEFT JOIN canon c ON c.tag_code = t.tag_code AND c.locale = t.locale
 """)
@@ -154,7 +154,7 @@ def jn5_inspect_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a word, case-insensitively, with their canonical lemma, best first."""
     t = views.tag_aliases(spark, sf_dir)
     canon = t.where("is_canonical").groupBy("tag_code", "locale").agg(F.min("lemma").alias("canonical"))
-    asked = t.where("n % 3 = 0").select(F.upper("lemma").alias("word")).distinct().withColumn("low", F.lower("word"))
+    asked = t.select(F.upper("lemma").alias("word")).distinct().withColumn("low", F.lower("word"))
     found = asked.join(t.withColumn("low", F.lower("lemma")), "low").join(canon, ["tag_code", "locale"], "left")
     rank = Window.partitionBy("word").orderBy(F.desc("is_canonical"), F.desc("n"), "tag_code", "locale")
     return found.select("word", "tag_code", "locale", "canonical", F.row_number().over(rank).alias("rank"))
@@ -195,14 +195,14 @@ def str11_tag_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH pairs AS (SELECT lemma, tag_code FROM tag_aliases WHERE locale = 'en')
+    WITH pairs AS (SELECT DISTINCT lemma, tag_code FROM tag_aliases)
     SELECT conv_id, turn, list_sort(list_distinct(list(p.tag_code))) AS codes
     FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations) c
     JOIN pairs p ON lower(split_part(p.lemma, ' ', 1)) = c.w GROUP BY 1, 2
 """)
 def set2_normalised_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags to codes: dropped if unknown, sorted, each once."""
-    pairs = views.tag_aliases(spark, sf_dir).where("locale = 'en'").select(F.lower(F.split_part("lemma", F.lit(" "), F.lit(1))).alias("w"), "tag_code").distinct()
+    pairs = views.tag_aliases(spark, sf_dir).select(F.lower(F.split_part("lemma", F.lit(" "), F.lit(1))).alias("w"), "tag_code").distinct()
     rows = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")))).alias("w"))
     return rows.join(pairs, "w").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("tag_code")).alias("codes"))
 

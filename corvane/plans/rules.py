@@ -11,8 +11,8 @@ from ..sources import views
 from .base import query
 
 # Extensions of video and audio files (fixed values).
-VIDEO = "mp4 m4v mov mkv avi wmv flv webm mpg mpeg 3gp ts mts m2ts vob ogv rm rmvb asf f4v".split()
-AUDIO = "mp3 wav flac aac m4a ogg opus wma aiff ape alac amr mid midi".split()
+VIDEO = "mp4 mkv mov avi wmv flv webm m4v mpeg mpg 3gp ogv rm rmvb asf vob f4v m2ts mxf dv".split()
+AUDIO = "mp3 wav flac aac ogg m4a wma aiff opus ape dsd dsf dff mqa ac3 dts ra au snd caf amr 3ga mid midi weba oga".split()
 # Language codes and their concept names (fixed values).
 LANGUAGES = {"zh": "chinese", "en": "english", "ja": "japanese", "ko": "korean", "fr": "french", "de": "german", "es": "spanish", "pt": "portuguese", "ru": "russian", "it": "italian", "ar": "arabic", "th": "thai", "vi": "vietnamese", "hi": "hindi", "nl": "dutch"}
 CLASSIC_ENCODERS, UNIFIED_ENCODERS = (0, 1), (4,)
@@ -32,13 +32,12 @@ def flt18_exclusive_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT word, word IN ('stop', 'gate', 'the') OR word IN ('der') AS gate FROM words WHERE length(word) <= 4
+    SELECT word, word IN ('stop', 'gate', 'the') OR word IN ('der') AS gate FROM words
 """)
 def flt19_gate_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership in a gate list by code or loose alias."""
     gate = spark.createDataFrame([(w,) for w in ("stop", "gate", "the", "der")], "word string").withColumn("gate", F.lit(True))
-    short = views.words(spark, sf_dir).where(F.char_length("word") <= 4)
-    return short.join(gate, "word", "left").select("word", F.coalesce("gate", F.lit(False)).alias("gate"))
+    return views.words(spark, sf_dir).join(gate, "word", "left").select("word", F.coalesce("gate", F.lit(False)).alias("gate"))
 
 
 @query("SELECT code, name, parent FROM tag_nodes WHERE parent IS DISTINCT FROM 'r1' AND code <> 'r1'")
@@ -94,16 +93,29 @@ def str13_language_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("lang", F.try_element_at(_map(LANGUAGES), F.col("lang")).alias("concept"), "n")
 
 
-@query("SELECT x, CASE WHEN x IN ('mp4', 'mkv', 'ogv') THEN 'video' WHEN x IN ('mp3', 'opus') THEN 'audio' ELSE 'other' END AS kind FROM (VALUES ('mp4'), ('mkv'), ('ogv'), ('mp3'), ('opus'), ('txt')) t(x)")
+_sql = lambda values: ", ".join(f"'{x}'" for x in values)
+
+
+@query(f"""
+    WITH x AS (SELECT DISTINCT '.' || upper(word) AS ext FROM words UNION SELECT unnest([{_sql(VIDEO + AUDIO)}]) UNION SELECT unnest(['..mp4', 'ts', 'alac', '', '.']))
+    SELECT ext, CASE WHEN lower(ltrim(ext, '.')) IN ({_sql(VIDEO)}) THEN 'video' WHEN lower(ltrim(ext, '.')) IN ({_sql(AUDIO)}) THEN 'audio' ELSE 'other' END AS kind FROM x
+""")
 def str33_media_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("mp4", "mkv", "ogv", "mp3", "opus", "txt")], "x string")
-    return rows.select("x", F.when(F.col("x").isin(VIDEO), "video").when(F.col("x").isin(AUDIO), "audio").otherwise("other").alias("kind"))
+    """Dots in front and case aside."""
+    given = spark.createDataFrame([(x,) for x in (*VIDEO, *AUDIO, "..mp4", "ts", "alac", "", ".")], "ext string")
+    rows = views.words(spark, sf_dir).select(F.concat(F.lit("."), F.upper("word")).alias("ext")).union(given).distinct()
+    clean = F.lower(F.ltrim("ext", F.lit(".")))
+    return rows.select("ext", F.when(clean.isin(VIDEO), "video").when(clean.isin(AUDIO), "audio").otherwise("other").alias("kind"))
 
 
-@query("SELECT id, replace(path, '/', '\\') AS native, '\"' || path || '\"' AS phrase FROM workspace_files")
+@query(r"""
+    SELECT id, replace(path, '/', '\') AS native, 'path:"' || rtrim(trim(CASE WHEN id % 2 = 0 THEN ' ' || path || '//' ELSE path END), '/\') || '" report' AS phrase FROM workspace_files
+""")
 def str34_native_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths with another separator, and as a quoted search phrase."""
-    return views.workspace_files(spark, sf_dir).select("id", F.translate("path", "/", "\\").alias("native"), F.format_string('"%s"', F.col("path")).alias("phrase"))
+    """Paths with another separator, and the phrase that asks the index for a keyword below one."""
+    asked = F.when(F.col("id") % 2 == 0, F.concat(F.lit(" "), "path", F.lit("//"))).otherwise(F.col("path"))
+    folder = F.rtrim(F.trim(asked), F.lit("/\\"))
+    return views.workspace_files(spark, sf_dir).select("id", F.translate("path", "/", "\\").alias("native"), F.concat(F.lit('path:"'), folder, F.lit('" '), F.trim(F.lit(" report "))).alias("phrase"))
 
 
 @query("SELECT * FROM (VALUES (1, 'a see ONE b'), (2, 'TWO'), (3, 'none')) t(id, filled)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators.search import bm25, reciprocal_ranks, top_k
+from ..operators.search import above, best_passages, bm25, hybrid, top_k
 from ..sources import views
 from .base import query
 
@@ -18,35 +18,35 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat(F.lit("v"), "vec_id").alias("fp"), "vec_id", "label", (F.col("label") % 5).alias("encoder_id"), "embedding")
 
 
-def first_vector(rows: DataFrame) -> list[float]:
-    """The query vector: one row."""
-    return [float(x) for x in rows.where("vec_id = 0").head()["embedding"]]
+def asked_vectors(rows: DataFrame) -> DataFrame:
+    """The query set of vector searches: every row whose id is divisible by fifty."""
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 SCORES = """
-    WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
-    s AS (SELECT 'v' || vec_id AS fp, vec_id, label, label % 5 AS encoder_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)), 6) AS score FROM embeddings)
+    WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT query_id, 'v' || vec_id AS fp, vec_id, label, label % 5 AS encoder_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, q)
 """
+TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fp) AS rank"
 
 
-@query(SCORES + "SELECT fp, score, row_number() OVER (ORDER BY score DESC, fp) AS rank FROM s QUALIFY rank <= 10")
+@query(SCORES + f"SELECT query_id, fp, score, {TOP} FROM s QUALIFY rank <= 10")
 def rnk2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(spark, sf_dir)
-    return top_k(rows, first_vector(rows), 10)
+    return top_k(rows, asked_vectors(rows), 10)
 
 
-@query(SCORES + "SELECT fp, score, row_number() OVER (ORDER BY score DESC, fp) AS rank FROM s WHERE encoder_id IN (0, 1) QUALIFY rank <= 10")
+@query(SCORES + f"SELECT query_id, fp, score, {TOP} FROM s WHERE encoder_id IN (0, 1) QUALIFY rank <= 10")
 def flt14_vector_topk_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The allowed encoders are chosen before scoring, so they reach the scan."""
     rows = stored(spark, sf_dir)
-    return top_k(rows.where(F.col("encoder_id").isin(0, 1)), first_vector(rows), 10)
+    return top_k(rows.where(F.col("encoder_id").isin(0, 1)), asked_vectors(rows), 10)
 
 
-@query(SCORES + "SELECT fp, score FROM s WHERE score >= 0.2")
+@query(SCORES + "SELECT query_id, fp, score FROM s WHERE score >= 0.4")
 def flt15_vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(spark, sf_dir)
-    q = F.lit(first_vector(rows))
-    return rows.select("fp", F.round(V.cosine(F.col("embedding"), q), 6).alias("score")).where("score >= 0.2")
+    return above(rows, asked_vectors(rows), 0.4)
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[])[1:16], lambda x: x * x))), 6) AS cut_norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[])[1:16], lambda x: x * x))), 6) AS first, 16 AS dim FROM embeddings")
@@ -70,10 +70,16 @@ def vec1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("label").alias("labels"))
 
 
-@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: abs(CAST(round(CAST(x AS DOUBLE) * 127) AS INTEGER))))::BIGINT AS weight FROM embeddings")
+@query("""
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 127) AS INTEGER)) AS i FROM embeddings)
+    SELECT vec_id, array_to_string(i, ' ') AS bytes, list_sum(list_transform(x, lambda y: CASE WHEN y > 0 THEN 1 ELSE 0 END))::BIGINT AS ones,
+           abs(list_cosine_similarity(x, list_transform(i, lambda y: y / 127.0)) - 1) <= 0.05 AS near FROM v
+""")
 def vec2_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, the one-bit code's ones, and whether the vector read back points the same way."""
     q = V.quantise(F.col("embedding"))
-    return stored(spark, sf_dir).select("vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + F.abs(x.cast("long"))).alias("weight"))
+    near = F.abs(V.cosine(F.col("embedding"), V.dequantise(q)) - 1) <= 0.05
+    return stored(spark, sf_dir).select("vec_id", F.array_join(F.transform(q, lambda x: x.cast("string")), " ").alias("bytes"), F.bit_count(V.sign_hash(F.col("embedding"))).cast("long").alias("ones"), near.alias("near"))
 
 
 @query("""
@@ -89,52 +95,106 @@ def snk1_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.join(e.where("id % 10 = 7").select("id"), "id", "left_anti")
 
 
-@query(SCORES + """, r AS (SELECT label, vec_id, least(1.0, greatest(-1.0, score)) AS similarity, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx FROM s WHERE vec_id <> 0)
-    SELECT label, arg_min(idx, (-similarity, idx)) AS best_index, max(similarity) AS similarity FROM r GROUP BY 1""")
+@query(SCORES + """, r AS (SELECT query_id, label, vec_id, least(1.0, greatest(-1.0, score)) AS similarity, row_number() OVER (PARTITION BY query_id, label ORDER BY vec_id) - 1 AS idx FROM s)
+    SELECT query_id, label, arg_min(idx, (-similarity, idx)) AS best_index, max(similarity) AS similarity FROM r GROUP BY 1, 2""")
 def jn22_passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best passage of every item, the first of equals."""
+    """The best passage of every item for each query, the first of equals."""
     rows = stored(spark, sf_dir)
-    q = F.lit(first_vector(rows))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.round(V.cosine(F.col("embedding"), q), 6)))
-    items = rows.where("vec_id <> 0").select("label", "vec_id", score.alias("similarity"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("idx"))
-    return items.groupBy("label").agg(F.min_by("idx", F.struct((-F.col("similarity")).alias("s"), "idx")).alias("best_index"), F.max("similarity").alias("similarity"))
+    passages = rows.select(F.col("label").alias("item"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("idx"), "embedding")
+    return best_passages(passages, asked_vectors(rows)).withColumnRenamed("item", "label")
 
 
-BM25 = """
-    WITH t AS (SELECT * FROM tokens),
+def bm25_sql(index: str = "documents", k: int = 20) -> str:
+    return f"""
+    t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS word FROM {index}),
     len AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1),
-    stats AS (SELECT (SELECT count(*) FROM documents) AS n, avg(dl) AS avgdl FROM len),
-    q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+')[1:5])) AS word FROM benchmark WHERE item_id < 20),
-    tf AS (SELECT doc_id, word, count(*) AS f FROM t WHERE word IN (SELECT word FROM q) GROUP BY 1, 2),
+    stats AS (SELECT (SELECT count(*) FROM {index}) AS n, avg(dl) AS avgdl FROM len),
+    ask AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+'))) AS word FROM benchmark WHERE item_id % 50 = 0),
+    tf AS (SELECT doc_id, word, count(*) AS f FROM t WHERE word IN (SELECT word FROM ask) GROUP BY 1, 2),
     df AS (SELECT word, count(*) AS d FROM tf GROUP BY 1),
-    s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-          FROM q JOIN tf USING (word) JOIN df USING (word) JOIN len USING (doc_id), stats GROUP BY 1, 2)
-    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20
-"""
+    hits AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+          FROM ask JOIN tf USING (word) JOIN df USING (word) JOIN len USING (doc_id), stats GROUP BY 1, 2),
+    lexical AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hits QUALIFY rank <= {k})
+    """
+
 
+def asked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every benchmark item whose id is divisible by fifty."""
+    bench = views.table(spark, sf_dir, "benchmark").where("item_id % 50 = 0")
+    return bench.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)")))).alias("word"))
 
-@query(BM25)
+
+@query("WITH " + bm25_sql() + " SELECT item_id, doc_id, score, rank FROM lexical")
 def vec5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 of the first words of benchmark items over all documents, k1 = 1.2, b = 0.75."""
-    bench = views.table(spark, sf_dir, "benchmark").where("item_id < 20")
-    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)")), 1, 5))
-    asked = bench.select("item_id", F.explode(words).alias("word"))
-    docs = views.table(spark, sf_dir, "documents")
-    return bm25(docs, asked, 20)
-
-
-@query(SCORES + """, dense AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, fp) AS r FROM s QUALIFY r <= 50),
-    lexical AS (SELECT vec_id AS id, row_number() OVER (ORDER BY (vec_id * 37) % 101, vec_id) AS r FROM embeddings QUALIFY r <= 50)
-    SELECT coalesce(d.id, l.id) AS id, d.r AS dense_rank, l.r AS lexical_rank, round(coalesce(1.0 / (60 + d.r), 0) + coalesce(1.0 / (60 + l.r), 0), 8) AS rrf
-    FROM dense d FULL JOIN lexical l ON d.id = l.id
-""")
+    """BM25 of whole benchmark items over all documents, k1 = 1.2, b = 0.75; the twenty best of each."""
+    return bm25(views.table(spark, sf_dir, "documents"), asked_words(spark, sf_dir), 20)
+
+
+def fused_sql(index: str) -> str:
+    return f"""
+    WITH {bm25_sql(index, 50)},
+    dense AS (SELECT b.item_id, e.vec_id AS id, row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, 'v' || e.vec_id) AS rank
+              FROM (SELECT item_id FROM benchmark WHERE item_id % 50 = 0) b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e QUALIFY rank <= 50),
+    both_lists AS (SELECT coalesce(d.item_id, l.item_id) AS query_id, coalesce(d.id, l.doc_id) AS id, d.rank AS dense_rank, l.rank AS lexical_rank, round(coalesce(0.7 / (60 + d.rank), 0) + coalesce(0.3 / (60 + l.rank), 0), 8) AS rrf
+             FROM dense d FULL JOIN lexical l ON d.item_id = l.item_id AND d.id = l.doc_id)
+    SELECT query_id, id, dense_rank, lexical_rank, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM both_lists QUALIFY rank <= 20
+    """
+
+
+def fused(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Vectors and texts of one id are one entry; an item is asked by its vector and its words."""
+    rows = stored(spark, sf_dir).withColumn("id", F.col("vec_id").cast("long"))
+    items = views.table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").cast("long").alias("query_id"))
+    asked = items.join(rows.select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")), "query_id")
+    dense = top_k(rows, asked, 50, keep=["id"])
+    lexical = bm25(docs, asked_words(spark, sf_dir), 50).select(F.col("item_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("id"), "rank")
+    return hybrid(dense, lexical, 20, weights=(0.7, 0.3))
+
+
+@query(fused_sql("documents"))
 def rnk3_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ranked lists fused by reciprocal ranks."""
-    rows = stored(spark, sf_dir)
-    dense = top_k(rows.withColumn("id", F.col("vec_id")), first_vector(rows), 50, keep=["id"]).select("id", F.col("rank").alias("dense_rank"))
-    order = Window.orderBy((F.col("vec_id") * 37) % 101, "vec_id")
-    lexical = rows.orderBy((F.col("vec_id") * 37) % 101, "vec_id").limit(50).select(F.col("vec_id").alias("id"), F.row_number().over(order).alias("lexical_rank"))
-    return reciprocal_ranks(dense, lexical)
+    """Dense and BM25 lists of fifty, fused by weighted reciprocal ranks, the twenty best of each query."""
+    return fused(spark, sf_dir, views.table(spark, sf_dir, "documents"))
+
+
+INDEX = "(SELECT doc_id, text FROM documents WHERE doc_id % 9 <> 4 UNION ALL SELECT doc_id, 'new ' || coalesce(text, '') FROM documents WHERE doc_id % 9 = 4)"
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after a batch of updates: of each key the row of the last batch."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    batch = docs.where("doc_id % 9 = 4").select("doc_id", F.concat(F.lit("new "), F.coalesce("text", F.lit(""))).alias("text"))
+    rows = docs.withColumn("seq", F.lit(0)).unionByName(batch.withColumn("seq", F.lit(1)))
+    return rows.groupBy("doc_id").agg(F.max_by("text", "seq").alias("text"))
+
+
+@query(f"SELECT count(*) AS entries, count(*) FILTER (doc_id % 9 = 4) AS batch, count(*) FILTER (starts_with(text, 'new ')) AS updated FROM {INDEX}")
+def snk3_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch written to the search index: entries, the batch's length, and entries that show it."""
+    one = lambda c: F.count(F.when(c, 1))
+    return upserted(spark, sf_dir).agg(F.count(F.lit(1)).alias("entries"), one(F.col("doc_id") % 9 == 4).alias("batch"), one(F.col("text").startswith("new ")).alias("updated"))
+
+
+@query(fused_sql(INDEX))
+def vec6_hybrid_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole service: upsert a batch, ask both lists of the new index, fuse."""
+    return fused(spark, sf_dir, upserted(spark, sf_dir))
+
+
+@query("""
+    WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE text END AS text, CASE WHEN (conv_id + turn) % 4 = 0 THEN [1.0, 2.0] END AS given FROM conversations)
+    SELECT conv_id, turn, CASE WHEN given IS NOT NULL THEN 'given' WHEN trim(coalesce(text, '')) <> '' THEN 'encoded' ELSE 'none' END AS origin,
+           CASE WHEN given IS NOT NULL THEN 3.0 WHEN trim(coalesce(text, '')) <> '' THEN list_sum(list_transform(list_transform(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda w: (length(w) * 31 + unicode(w)) % 64), lambda p: CASE WHEN p < 32 THEN 1.0 ELSE 0.0 END)) END AS mass
+    FROM q
+""")
+def rnk4_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector given with a query, else that of its text, else none. (mass: of the given vector, or of
+    the lower half of the text's.)"""
+    q = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("text")).alias("text"), F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, F.array(F.lit(1.0), F.lit(2.0))).alias("given"))
+    spoken = F.trim(F.coalesce("text", F.lit(""))) != ""
+    encoded = F.when(spoken, F.slice(V.hashed_words(F.col("text")), 1, 32))
+    total = F.aggregate(F.coalesce("given", encoded), F.lit(0.0), lambda s, x: s + x)
+    return q.select("conv_id", "turn", F.when(F.col("given").isNotNull(), "given").when(spoken, "encoded").otherwise("none").alias("origin"), total.alias("mass"))
 
 
 @query("SELECT vec_id, embedding IS NOT NULL AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0.0 AS valid FROM embeddings")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.tree import healed_path, node_source, part_of_speech, prefixes, rollup, under_directory, valid_file
+from ..operators.tree import TreeRules, healed, hoisted, named_rollup, node_source, part_of_speech, prefixes, rollup, root_rank, sort_order, under_directory, valid_file
 from ..sources import views
 from .base import query
 
-ROOT, TYPES = "builtin.content_tags", ["builtin.file_type"]
+ROOT, RULES = "builtin.content_tags", TreeRules()
 
 
 def live_files(files: DataFrame, workspace: int | None = None, directory: str | None = None) -> DataFrame:
@@ -117,42 +117,153 @@ def jn2_fact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_PATHS = """
     raw AS (
-        SELECT DISTINCT CASE WHEN p_partkey % 13 = 0 THEN '  '
-               WHEN p_partkey % 5 = 0 THEN '/builtin.content_tags/builtin.file_type/' || lower(p_type)
-               WHEN p_partkey % 3 = 0 THEN '/' || lower(p_type) || '/ ' || lower(p_brand) || ' /' || lower(p_type)
+        SELECT DISTINCT CASE p_partkey % 13 WHEN 0 THEN '  '
+               WHEN 1 THEN '/builtin.content_tags/builtin.file_type/' || lower(p_type)
+               WHEN 2 THEN '/' || lower(p_type) || '/ ' || lower(p_brand) || ' /' || lower(p_type)
+               WHEN 3 THEN '/builtin.fileType/omw.06367879.n/omw.03833065.n/' || lower(p_brand)
+               WHEN 4 THEN '/builtin.file_type/' || lower(p_type) || '/builtin.geographical_location/' || lower(p_brand)
+               WHEN 5 THEN '/builtin.content_tags/' || lower(p_type) || '/hownet.000000043396.n/' || lower(p_brand)
+               WHEN 6 THEN '/builtin.language_segmentation/' || lower(p_brand)
+               WHEN 7 THEN '/builtin.content_tags/builtin.security_level/' || lower(p_brand)
+               WHEN 8 THEN '/builtin.theme/' || lower(p_brand)
+               WHEN 9 THEN '/builtin.processing_status'
+               WHEN 10 THEN '///'
                ELSE '/builtin.content_tags//' || lower(p_type) || '/builtin.content_tags/' || lower(p_brand) END AS code_path,
-               lower(p_brand) AS leaf_code FROM part)
+               CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE lower(p_brand) END AS leaf_code FROM part)
 """
 
 
 def raw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = views.table(spark, sf_dir, "part")
     kind, brand, key = F.lower("p_type"), F.lower("p_brand"), F.col("p_partkey")
-    path: Column = (
-        F.when(key % 13 == 0, "  ")
-        .when(key % 5 == 0, F.concat(F.lit("/builtin.content_tags/builtin.file_type/"), kind))
-        .when(key % 3 == 0, F.concat(F.lit("/"), kind, F.lit("/ "), brand, F.lit(" /"), kind))
-        .otherwise(F.concat(F.lit("/builtin.content_tags//"), kind, F.lit("/builtin.content_tags/"), brand))
-    )
-    return part.select(path.alias("code_path"), brand.alias("leaf_code")).distinct()
+    written: dict[int, Column] = {
+        0: F.lit("  "),
+        1: F.concat(F.lit("/builtin.content_tags/builtin.file_type/"), kind),
+        2: F.concat(F.lit("/"), kind, F.lit("/ "), brand, F.lit(" /"), kind),
+        3: F.concat(F.lit("/builtin.fileType/omw.06367879.n/omw.03833065.n/"), brand),
+        4: F.concat(F.lit("/builtin.file_type/"), kind, F.lit("/builtin.geographical_location/"), brand),
+        5: F.concat(F.lit("/builtin.content_tags/"), kind, F.lit("/hownet.000000043396.n/"), brand),
+        6: F.concat(F.lit("/builtin.language_segmentation/"), brand),
+        7: F.concat(F.lit("/builtin.content_tags/builtin.security_level/"), brand),
+        8: F.concat(F.lit("/builtin.theme/"), brand),
+        9: F.lit("/builtin.processing_status"),
+        10: F.lit("///"),
+    }
+    path = F.concat(F.lit("/builtin.content_tags//"), kind, F.lit("/builtin.content_tags/"), brand)
+    for k, text in written.items():
+        path = F.when(key % 13 == k, text).otherwise(path)
+    return part.select(path.alias("code_path"), F.when(key % 17 == 0, " ").otherwise(brand).alias("leaf_code")).distinct()
+
+
+_quoted = lambda codes: ", ".join(f"'{c}'" for c in codes)
+ROOTS, PLACED = _quoted(RULES.roots), _quoted([*RULES.roots, *RULES.dimensions])
 
 
 @query(f"""
     WITH {RAW_PATHS}, cut AS (
-        SELECT code_path, leaf_code, list_filter(list_transform(string_split(CASE WHEN trim(code_path) = '' THEN '/builtin.content_tags/' || leaf_code ELSE code_path END, '/'), lambda x: trim(x)), lambda x: x <> '') AS s FROM raw
+        SELECT code_path, leaf_code, list_filter(list_transform(string_split(CASE WHEN trim(code_path) = '' THEN '/builtin.content_tags/' || leaf_code ELSE code_path END, '/'), lambda x: trim(x)), lambda x: x <> '') AS s
+        FROM raw WHERE trim(leaf_code) <> ''
+    ), filled AS (
+        SELECT code_path, leaf_code, CASE WHEN len(s) = 0 THEN ['builtin.content_tags', leaf_code] ELSE s END AS s FROM cut
+    ), written AS (
+        SELECT code_path, leaf_code, list_transform(s, lambda x, i: CASE WHEN i = 1 AND x = 'builtin.fileType' THEN 'builtin.file_type' WHEN x = 'omw.06367879.n' THEN 'omw.03833065.n' ELSE x END) AS s FROM filled
     ), once AS (
-        SELECT code_path, leaf_code, list_filter(s, lambda x, i: list_position(s, x) = i) AS s FROM cut
+        SELECT code_path, leaf_code, list_filter(s, lambda x, i: list_position(s, x) = i) AS s FROM written
+    ), bare AS (
+        SELECT code_path, leaf_code, CASE WHEN len(s) > 1 AND s[1] = 'builtin.content_tags' AND s[2] IN ({PLACED}) THEN s[2:] ELSE s END AS s FROM once
+    ), geo AS (
+        SELECT code_path, leaf_code, CASE WHEN list_contains(s, 'builtin.geographical_location') THEN s[list_position(s, 'builtin.geographical_location'):] ELSE s END AS s FROM bare
+    ), author AS (
+        SELECT code_path, leaf_code, CASE WHEN list_contains(s, 'hownet.000000043396.n') THEN s[list_position(s, 'hownet.000000043396.n'):] ELSE s END AS s FROM geo
+    ), deep AS (
+        SELECT code_path, leaf_code, CASE WHEN s[1] = 'builtin.language_segmentation' THEN list_concat(['builtin.file_type', 'builtin.document'], s)
+               WHEN s[1] IN ('builtin.security_level', 'builtin.processing_status') THEN list_concat(['builtin.file_purpose', 'builtin.work_document'], s) ELSE s END AS s FROM author
     ), rooted AS (
-        SELECT code_path, leaf_code, CASE WHEN len(s) > 1 AND s[1] = 'builtin.content_tags' AND s[2] = 'builtin.file_type' THEN s[2:]
-               WHEN s[1] IN ('builtin.content_tags', 'builtin.file_type') THEN s
-               ELSE list_concat(['builtin.content_tags'], s) END AS s FROM once
+        SELECT code_path, leaf_code, CASE WHEN s[1] IN ({ROOTS}) THEN s WHEN s[1] IN ({PLACED}) THEN list_concat(['builtin.file_type'], s) ELSE list_concat(['builtin.content_tags'], s) END AS s FROM deep
     )
     SELECT code_path, leaf_code, '/' || array_to_string(s, '/') AS healed, len(s) AS depth FROM rooted
 """)
 def tre_healed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths split and trimmed, blanks filled, loops removed, heads put under a root."""
-    codes = healed_path(F.col("code_path"), F.col("leaf_code"), ROOT, TYPES)
-    return raw_paths(spark, sf_dir).withColumn("s", codes).select("code_path", "leaf_code", F.concat(F.lit("/"), F.array_join("s", "/")).alias("healed"), F.size("s").cast("long").alias("depth"))
+    """Paths split and trimmed, blanks filled, old codes rewritten, loops removed, heads put where they belong."""
+    rows = healed(raw_paths(spark, sf_dir), RULES)
+    return rows.select("code_path", "leaf_code", F.concat(F.lit("/"), F.array_join("codes", "/")).alias("healed"), F.size("codes").cast("long").alias("depth"))
+
+
+ORDERS = """
+    o AS (SELECT code, pack, CASE WHEN code <> 'builtin.content_tags' AND pack > 0 THEN pack WHEN code = 'builtin.content_tags' THEN 9999 WHEN code = 'builtin.file_type' THEN 1 WHEN code = 'builtin.file_purpose' THEN 2
+                 WHEN code = 'builtin.file_source' THEN 3 WHEN code = 'hownet.000000043396.n' THEN 4 ELSE 0 END AS sort_order
+          FROM (SELECT CASE WHEN p_partkey BETWEEN 1 AND 6 THEN (['builtin.file_type', 'builtin.file_purpose', 'builtin.file_source', 'hownet.000000043396.n', 'builtin.geographical_location', 'builtin.content_tags'])[p_partkey] ELSE 'builtin.p' || p_partkey END AS code,
+                       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size - 20 END AS pack FROM part))
+"""
+
+
+def packed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = views.table(spark, sf_dir, "part")
+    code = F.coalesce(F.get(F.array(*map(F.lit, RULES.roots)), (F.col("p_partkey") - 1).cast("int")), F.concat(F.lit("builtin.p"), "p_partkey"))
+    rows = part.select(code.alias("code"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_size") - 20).alias("pack"))
+    return rows.withColumn("sort_order", sort_order(F.col("code"), F.col("pack"), RULES))
+
+
+@query(f"WITH {ORDERS} SELECT * FROM o")
+def tre11_sort_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_orders(spark, sf_dir)
+
+
+@query(f"""
+    WITH {ORDERS}
+    SELECT code, position FROM (SELECT code, row_number() OVER (ORDER BY CASE WHEN sort_order > 0 THEN sort_order ELSE 9223372036854775807 END,
+        coalesce(list_position([{ROOTS}], code), 7), code) AS position FROM o) WHERE position <= 50
+""")
+def srt2_root_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty of a forest's roots: by order, then as roots are usually shown, then by code."""
+    keys = root_rank(F.col("code"), F.col("sort_order"), RULES)
+    first = packed_orders(spark, sf_dir).orderBy(*keys).limit(50)
+    return first.select("code", F.row_number().over(Window.orderBy(*keys)).alias("position"))
+
+
+@query("SELECT * FROM (" + ROLLUP.format(scope="") + ") WHERE starts_with(code_path || '/', '/builtin.content_tags/') AND total_files > 0")
+def tre16_root_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One root's tree, asked for by code or by path; a root without files does not show."""
+    asked = "builtin.content_tags"
+    root = f"/{asked.lstrip('/')}"
+    facts = tagged_files(spark, sf_dir).where(under_directory(F.col("code_path"), root))
+    return rollup(facts).where("total_files > 0")
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT r.code_path FROM file_tag_relations r JOIN workspace_files w USING (file_fingerprint) WHERE w.status = 1 AND w.id % 3 = 0 AND w.workspace_id = 2),
+    s AS (SELECT code_path, string_split(substr(code_path, 2), '/') AS s FROM p),
+    n AS (SELECT code_path, i, '/' || array_to_string(s[1:i], '/') AS node, CASE WHEN i > 1 THEN '/' || array_to_string(s[1:i-1], '/') END AS parent, i = len(s) AS leaf FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s)),
+    u AS (SELECT node, parent, bool_or(leaf) AS direct FROM n GROUP BY 1, 2),
+    gone AS (SELECT parent AS node FROM u GROUP BY 1 HAVING count(*) = 1 AND parent LIKE '/builtin.content_tags/%' INTERSECT SELECT node FROM u WHERE NOT direct),
+    left_over AS (SELECT s.code_path, i, s[i] AS code FROM n JOIN s USING (code_path) WHERE node NOT IN (SELECT node FROM gone))
+    SELECT code_path, '/' || string_agg(code, '/' ORDER BY i) AS shown FROM left_over GROUP BY 1
+""")
+def tre14_hoisted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with one child and no files of their own vanish, their child takes their place."""
+    files = live_files(views.workspace_files(spark, sf_dir), workspace=2).where("id % 3 = 0")
+    paths = views.file_tag_relations(spark, sf_dir).join(files, "file_fingerprint").select("code_path")
+    return hoisted(paths, RULES).select("code_path", F.concat(F.lit("/"), F.array_join("codes", "/")).alias("shown"))
+
+
+SHOWN = """CASE WHEN code = 'builtin.content_tags' THEN 'Content' WHEN regexp_matches(code, '_[0-9]*$') THEN 'k' || right(code, 1) ELSE ' k' || length(code) % 5 || ' ' END"""
+
+
+@query(f"""
+    WITH f AS (SELECT w.id, r.code_path, string_split(substr(r.code_path, 2), '/') AS s FROM file_tag_relations r JOIN workspace_files w USING (file_fingerprint) WHERE w.status = 1),
+    named AS (SELECT id, s, list_transform(s, lambda code: trim({SHOWN})) AS n FROM f),
+    each AS (SELECT id, s, n, unnest(range(1, len(s) + 1)) AS k FROM named),
+    shown AS (SELECT id, '/' || array_to_string(list_filter(n[1:k], lambda x, i: i = 1 OR x <> n[i - 1]), '/') AS node, '/' || array_to_string(s[1:k-1], '/') AS parent FROM each WHERE k = 1 OR n[k] <> n[k - 1]),
+    per AS (SELECT node, parent, count(DISTINCT id) AS c FROM shown GROUP BY 1, 2)
+    SELECT node, files, summed FROM (SELECT node, count(DISTINCT id) AS files FROM shown GROUP BY 1) JOIN (SELECT node, sum(c)::BIGINT AS summed FROM per GROUP BY 1) USING (node)
+""")
+def agg3_named_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree by display names: equal names of parent and child fold, equal siblings merge."""
+    facts = tagged_files(spark, sf_dir)
+    code = F.col("code")
+    name = F.when(code == ROOT, "Content").when(code.rlike("_[0-9]*$"), F.concat(F.lit("k"), F.right(code, F.lit(1)))).otherwise(F.concat(F.lit(" k"), F.length(code) % 5, F.lit(" ")))
+    codes = prefixes(views.tag_paths(spark, sf_dir).select("code_path")).select("code").distinct()
+    return named_rollup(facts, codes.select("code", name.alias("name")))
 
 
 @query("""

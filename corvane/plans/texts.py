@@ -164,13 +164,27 @@ def str25_safe_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", F.when(n <= 300, n).when(cut >= 200, cut - 1).otherwise(300).cast("long").alias("head_chars"))
 
 
-@query("SELECT doc_id, regexp_matches(text, 'fn |def |class |import |#include|function |return ') OR contains(text, '=> {') OR contains(text, '();') AS code_like FROM documents")
+# Literals of lower-cased text that tell source code (fixed values).
+CODE_MARKS = ["public class", "public void", "private boolean", "import java", "vim命令", "normal mode", "insert mode", "split window", "function(", "console.log", "#include <", "fn main"]
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, CASE doc_id % 20 WHEN 1 THEN text || ' Console.LOG(x)' WHEN 2 THEN '#include  <' || text WHEN 3 THEN 'Fn MAIN' || text WHEN 4 THEN text || ' vim命令' ELSE text END AS text FROM documents)
+    SELECT doc_id, coalesce({" OR ".join(f"contains(lower(text), '{x}')" for x in CODE_MARKS)}, FALSE) AS code_like FROM t
+""")
 def str30_code_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike("fn |def |class |import |#include|function |return |=> \\{|\\(\\);").alias("code_like"))
+    """Texts that hold a literal of source code or of an editor."""
+    k, t = F.col("doc_id") % 20, F.col("text")
+    text = F.when(k == 1, F.concat(t, F.lit(" Console.LOG(x)"))).when(k == 2, F.concat(F.lit("#include  <"), t)).when(k == 3, F.concat(F.lit("Fn MAIN"), t)).when(k == 4, F.concat(t, F.lit(" vim命令"))).otherwise(t)
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.lower(text).alias("low"))
+    found = F.lit(False)
+    for mark in CODE_MARKS:
+        found = found | F.col("low").contains(mark)
+    return rows.select("doc_id", F.coalesce(found, F.lit(False)).alias("code_like"))
 
 
 @query("""
-    WITH e AS (SELECT event_id, CAST(floor(value * 10) AS BIGINT) AS dur FROM events WHERE event_id < 2000),
+    WITH e AS (SELECT event_id, CAST(floor(value * 10) AS BIGINT) AS dur FROM events),
     s AS (SELECT event_id, dur, CASE WHEN dur <= 0 THEN 0 WHEN dur <= 30 THEN 1 ELSE 1 + CAST(ceil((dur - 30) / 25.0) AS BIGINT) END AS n FROM e),
     x AS (SELECT event_id, dur, unnest(range(0, n)) AS k FROM s)
     SELECT event_id, k, k * 25 AS start_s, least(k * 25 + 30, dur) AS end_s FROM x
@@ -179,7 +193,7 @@ def mth6_overlapping_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of 30 seconds every 25; the last ends with the recording."""
     dur = F.floor(F.col("value") * 10)
     n = F.when(dur <= 0, 0).when(dur <= 30, 1).otherwise(1 + F.ceil((dur - 30) / 25)).cast("int")
-    rows = views.table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", dur.alias("dur"), n.alias("n")).where("n > 0")
+    rows = views.table(spark, sf_dir, "events").select("event_id", dur.alias("dur"), n.alias("n")).where("n > 0")
     each = rows.select("event_id", "dur", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("k"))
     return each.select("event_id", "k", (F.col("k") * 25).alias("start_s"), F.least(F.col("k") * 25 + 30, F.col("dur")).alias("end_s"))
 
@@ -206,14 +220,14 @@ def txt8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH dict AS (SELECT word, 'builtin.w_' || word AS code FROM words WHERE length(word) = 4),
+    WITH dict AS (SELECT word, 'builtin.w_' || word AS code FROM words WHERE length(word) >= 4),
     hits AS (SELECT t.doc_id, d.code, count(*) AS n FROM tokens t JOIN dict d USING (word) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS rank FROM hits WHERE n >= 2)
     SELECT doc_id, code, n, rank FROM r WHERE rank <= 5
 """)
 def txt10_fast_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary words of a document, found often enough, the five most frequent."""
-    words = views.tokens(spark, sf_dir).where(F.char_length("word") == 4)
+    words = views.tokens(spark, sf_dir).where(F.char_length("word") >= 4)
     hits = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     top = hits.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.concat(F.lit("builtin.w_"), "word").alias("code")))), 1, 5).alias("t"))
     return top.select("doc_id", F.posexplode("t").alias("k", "t")).select("doc_id", "t.code", (-F.col("t.m")).alias("n"), (F.col("k") + 1).alias("rank"))
@@ -239,14 +253,21 @@ def txt2_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_texts(turns)
 
 
-@query("""
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&amp;": "&"}
+_decoded = lambda x: "".join(["replace(" * len(ENTITIES), x, *[f", '{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in ENTITIES.items()]])
+
+
+@query(rf"""
     WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
-    SELECT page_id, length(trim(regexp_replace(t, '[ \\t\\n\\r]+', ' ', 'g'))) AS n_chars FROM b
+    SELECT page_id, sha256(trim(regexp_replace({_decoded("t")}, '[ 	
+]+', ' ', 'g'))) AS text_sha256 FROM b
 """)
 def src7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All visible text of a page, menus and all, by removing markup."""
-    bare = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>", " "), "<[^>]*>", " ")
-    return views.table(spark, sf_dir, "pages").select("page_id", F.char_length(F.trim(F.regexp_replace(bare, "[ \\t\\n\\r]+", " "))).cast("long").alias("n_chars"))
+    """All visible text of a page, menus and all: markup goes, the usual entities are decoded, the ampersand's last."""
+    text = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>", " "), "<[^>]*>", " ")
+    for entity, character in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return views.table(spark, sf_dir, "pages").select("page_id", F.sha2(F.trim(F.regexp_replace(text, "[ \t\n\r]+", " ")), 256).alias("text_sha256"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'image/avif' WHEN page_id % 5 = 1 THEN 'video/quicktime' WHEN page_id % 5 = 2 THEN 'audio/mp4' WHEN page_id % 5 = 3 THEN 'image/jpeg' END AS preview FROM pages")

@@ -43,10 +43,18 @@ SQL: dict[str, str] = {
         SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal,
                'builtin.' || l_returnflag AS code, l_linestatus AS dim, round(1 - 5 * l_discount - 2 * l_tax, 4) AS confidence
         FROM lineitem""",
+    "chain_tags": """
+        SELECT file, ordinal, k % 8 AS kind, CASE WHEN k % 8 = 5 THEN 'builtin.frame' WHEN k % 8 = 7 THEN CASE WHEN s % 2 = 0 THEN 'omw.00918939.s' ELSE 'omw.02423762.v' END ELSE 'builtin.t' || s % 5 END AS code,
+               CASE k % 8 WHEN 0 THEN 'builtin.system_ecology' WHEN 1 THEN 'builtin.subject_type' WHEN 2 THEN 'nowhere' WHEN 7 THEN 'builtin.emotion_tags' END AS via,
+               CASE k % 8 WHEN 2 THEN ['x', 'builtin.time_season'] WHEN 3 THEN ['builtin.theme', 'builtin.frame'] END AS parents,
+               CASE k % 8 WHEN 4 THEN '/builtin.file_type/ builtin.document_quality /builtin.t' || s % 5 WHEN 5 THEN '/a/builtin.frame' END AS path,
+               CASE WHEN k % 29 = 0 THEN CAST('nan' AS DOUBLE) ELSE confidence END AS confidence
+        FROM (SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal,
+                     l_partkey AS k, l_suppkey AS s, round(1 - 5 * l_discount - 2 * l_tax, 4) AS confidence FROM lineitem)""",
     "tag_nodes": """
         SELECT 'r' || r_regionkey AS code, r_name AS name, CAST(NULL AS VARCHAR) AS parent FROM region
         UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation
-        UNION ALL SELECT DISTINCT 's_' || c_mktsegment, c_mktsegment, 'n' || c_nationkey FROM customer WHERE c_custkey % 97 = 0""",
+        UNION ALL SELECT DISTINCT 's_' || c_mktsegment, c_mktsegment, 'n' || c_nationkey FROM customer""",
     "words": """
         SELECT DISTINCT word FROM (
             SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS word FROM documents)""",
@@ -104,11 +112,29 @@ def scored_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chain_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags with their parents, each kind placed in its dimension in another way, some without a number."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    k, s = F.col("l_partkey") % 8, F.col("l_suppkey")
+    code = F.concat(F.lit("builtin.t"), s % 5)
+    mood = F.when(s % 2 == 0, "omw.00918939.s").otherwise("omw.02423762.v")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file"),
+        F.row_number().over(order).alias("ordinal"),
+        k.alias("kind"),
+        F.when(k == 5, "builtin.frame").when(k == 7, mood).otherwise(code).alias("code"),
+        F.when(k == 0, "builtin.system_ecology").when(k == 1, "builtin.subject_type").when(k == 2, "nowhere").when(k == 7, "builtin.emotion_tags").alias("via"),
+        F.when(k == 2, F.array(F.lit("x"), F.lit("builtin.time_season"))).when(k == 3, F.array(F.lit("builtin.theme"), F.lit("builtin.frame"))).alias("parents"),
+        F.when(k == 4, F.concat(F.lit("/builtin.file_type/ builtin.document_quality /"), code)).when(k == 5, "/a/builtin.frame").alias("path"),
+        F.when(F.col("l_partkey") % 29 == 0, F.lit(float("nan"))).otherwise(F.round(1 - 5 * F.col("l_discount") - 2 * F.col("l_tax"), 4)).alias("confidence"),
+    )
+
+
 def tag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taxonomy edges (code, name, parent): regions, nations, market segments."""
     region = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("code"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), "n_name", F.concat(F.lit("r"), "n_regionkey"))
-    segment = table(spark, sf_dir, "customer").where("c_custkey % 97 = 0").select(F.concat(F.lit("s_"), "c_mktsegment"), "c_mktsegment", F.concat(F.lit("n"), "c_nationkey")).distinct()
+    segment = table(spark, sf_dir, "customer").select(F.concat(F.lit("s_"), "c_mktsegment"), "c_mktsegment", F.concat(F.lit("n"), "c_nationkey")).distinct()
     return region.union(nation).union(segment)
 
 
@@ -121,7 +147,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).select("word").distinct()
 
 
-VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_files, tag_paths, file_tag_relations, tag_aliases, scored_tags, tag_nodes, tokens, words)}
+VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_files, tag_paths, file_tag_relations, tag_aliases, scored_tags, chain_tags, tag_nodes, tokens, words)}
 __all__ = ["SQL", "VIEWS", "table", "with_views"]
 
 

@@ -19,7 +19,9 @@ def replay(ops: DataFrame, ttl_micros: int = TTL_MICROS) -> DataFrame:
     A key's state is what its last put stored. A take removes it, whatever the
     outcome: ``missing`` without an entry, ``expired`` if it is older than the
     time to live, ``encoder_mismatch`` if another encoder stored it, else
-    ``hit``. Operations of a batch are replayed in the order of (at, op_id).
+    ``hit``. Operations of a batch are replayed in the order of (at, op_id);
+    batches must come in the order of time, as the stream's source gives them.
+    Only keys that hold an entry keep state.
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,7 +39,10 @@ def replay(ops: DataFrame, ttl_micros: int = TTL_MICROS) -> DataFrame:
                 outcome = "hit" if op.encoder == encoder else "encoder_mismatch"
             held = False
             out.append((key[0], op.op_id, outcome))
-        state.update((at, encoder, held))
+        if held:
+            state.update((at, encoder, held))
+        elif state.exists:  # a taken key needs no state
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "op_id", "outcome"])
 
     return ops.groupBy("key").applyInPandasWithState(fold, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 """Hand-made cases for scalar functions, trees, arbitration and state."""
 
 import random
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import arbitration, chunks, cluster, folding, hashes, tree
+from corvane.operators.graph import ancestors, components
 from corvane.operators.state import crash_breaker
 from corvane.plans import identify, texts
 from corvane.sources.files import list_files, optional, table_or_empty
@@ -54,12 +56,46 @@ def test_document_language(spark):
 
 
 def test_paths(spark):
-    heal = tree.healed_path(F.col("x"), F.lit("leaf"), "root", ["types"])
-    cases = {"/root/types/a": ["types", "a"], "/a/ b /a//c": ["root", "a", "b", "c"], "  ": ["root", "leaf"], "/root": ["root"], "/types/x": ["types", "x"], "/root/a/root": ["root", "a"]}
-    for path, want in cases.items():
-        assert one(spark, path, heal) == want
-    inside = tree.under_directory(F.col("x"), "C:\\a_b\\")
-    assert [one(spark, x, inside) for x in ("C:/a_b", "C:\\a_b\\c", "C:/aXb/c", "C:/a_bc")] == [True, True, False, False]
+    rules = tree.TreeRules()
+    content, kind = rules.content, rules.file_type
+    cases = {
+        f"/{content}/{kind}/a": [kind, "a"], "/a/ b /a//c": [content, "a", "b", "c"], "  ": [content, "leaf"], f"/{content}": [content], f"/{kind}/x": [kind, "x"], f"/{content}/a/{content}": [content, "a"],
+        "///": [content, "leaf"], f"/{kind}/picture/{rules.geo}/x": [rules.geo, "x"], f"/{content}/man/{rules.author}/x": [rules.author, "x"], "/builtin.fileType/x": [kind, "x"],
+        "/builtin.language_segmentation/x": [kind, "builtin.document", "builtin.language_segmentation", "x"], "/builtin.security_level/x": ["builtin.file_purpose", "builtin.work_document", "builtin.security_level", "x"],
+        "/builtin.theme/x": [kind, "builtin.theme", "x"], f"/{content}/builtin.theme/x": [kind, "builtin.theme", "x"], "/a/omw.06367879.n": [content, "a", "omw.03833065.n"],
+    }
+    rows = spark.createDataFrame([(k, "leaf") for k in cases] + [("/a/b", " ")], "code_path string, leaf_code string")
+    assert {r.code_path: r.codes for r in tree.healed(rows, rules).collect()} == cases
+
+
+def test_named_rollup(spark):
+    """Goldens worked by hand: /r/a1 and /r/a2 are both A; A's child A folds and promotes its children."""
+    facts = [(1, "/r/a1/x"), (2, "/r/a1/x"), (2, "/r/a2/x"), (3, "/r/a1/a3/y"), (3, "/r/a1/y2"), (4, "/r/a1/a3"), (4, "/r/a2")]
+    names = [("r", "R"), ("a1", "A"), ("a2", " A "), ("a3", "A"), ("y", "Y"), ("y2", "Y"), ("x", " ")]
+    found = tree.named_rollup(spark.createDataFrame(facts, "id int, code_path string"), spark.createDataFrame(names, "code string, name string"))
+    assert {r.node: (r.files, r.summed) for r in found.collect()} == {"/R": (4, 4), "/R/A": (4, 4), "/R/A/x": (2, 3), "/R/A/Y": (1, 2)}
+
+
+def test_hoisted_paths(spark):
+    c = "builtin.content_tags"
+    paths = [f"/{c}/a/b/c", f"/{c}/a/b/d", f"/{c}/e/f", f"/{c}/g", f"/{c}/g/h", "/other/a/b"]
+    found = tree.hoisted(spark.createDataFrame([(p,) for p in paths], "code_path string"), tree.TreeRules()).collect()
+    assert {r.code_path: r.codes for r in found} == {paths[0]: [c, "b", "c"], paths[1]: [c, "b", "d"], paths[2]: [c, "f"], paths[3]: [c, "g"], paths[4]: [c, "g", "h"], paths[5]: ["other", "a", "b"]}
+
+
+def test_dimension_policies(spark):
+    """Several subjects and themes stay, one of two screen kinds wins, weak and unmeasured tags go."""
+    from corvane.operators.policies import OPPOSED_MOODS, Policies, arbitrate
+
+    nan = float("nan")
+    tags = [("person", 0.88, "builtin.subject_type"), ("pet", 0.82, "builtin.subject_type"), ("fiction", 0.85, "builtin.theme"), ("suspense", 0.79, "builtin.theme"), ("windows", 0.92, "builtin.system_ecology"),
+            ("macos", 0.77, "builtin.system_ecology"), ("close", 0.45, "builtin.shot_type"), ("medium", nan, "builtin.shot_type"), ("_ext.tool", 0.75, None)]
+    rows = [("f", i, c, via, [], None, x) for i, (c, x, via) in enumerate(tags)]
+    schema = "file string, ordinal int, code string, via string, parents array<string>, path string, confidence double"
+    kept = {r.code for r in arbitrate(spark.createDataFrame(rows, schema), Policies(), []).collect()}
+    assert kept == {"person", "pet", "fiction", "suspense", "windows", "_ext.tool"}
+    moods = [("g", i, c, "builtin.emotion_tags", [], None, x) for i, (c, x) in enumerate([("兴奋", 0.66), ("压抑", 0.84), ("紧张", 0.71), ("致郁", 0.75)])]
+    assert {r.code for r in arbitrate(spark.createDataFrame(moods, schema), Policies(), OPPOSED_MOODS).collect()} == {"压抑", "紧张", "致郁"}
 
 
 def test_rollup_counts_distinct_files(spark):
@@ -142,10 +178,42 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
-    write_hours(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    closed = spark.read.parquet(str(tmp_path / "out"))
-    batch = {(r.hour, r.event_type): r.n for r in hourly(events).collect()}
-    stream = {(r.hour, r.event_type): r.n for r in closed.collect()}
-    assert stream and all(batch[k] == n for k, n in stream.items()) and len(stream) >= 0.8 * len(batch)
+    """Files arrive in the order of their events; an event at the end closes all hours but its own."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 4
+    source = str(tmp_path / "in")
+    for k in range(4):
+        part = events.where((F.col("ts") >= F.lit(first + k * step)) & ((F.col("ts") < F.lit(first + (k + 1) * step)) if k < 3 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(source)
+    closing = events.limit(1).withColumns({"ts": F.lit(last + timedelta(days=2)), "event_type": F.lit("closing")})
+    closing.coalesce(1).write.mode("append").parquet(source)
+    write_hours(stream_table(spark, source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    batch = {(r.hour, r.event_type): (r.n, round(r.total, 6)) for r in hourly(events).collect()}
+    stream = [((r.hour, r.event_type), (r.n, round(r.total, 6))) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(stream) == len(batch) and dict(stream) == batch
+
+
+def test_ancestors_end_with_the_graph(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("r", None), ("a", "c")], "code string, parent string")
+    found = {(r.code, r.ancestor): r.distance for r in ancestors(edges, 64).collect()}
+    assert found == {("a", "b"): 1, ("a", "c"): 1, ("a", "a"): 2, ("b", "c"): 1, ("b", "a"): 2, ("b", "b"): 3, ("c", "a"): 1, ("c", "b"): 2, ("c", "c"): 2, ("x", "b"): 1, ("x", "c"): 2, ("x", "a"): 3}
+    assert ancestors(edges, 1).count() == 5
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
