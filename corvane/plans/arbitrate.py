@@ -96,16 +96,6 @@ def set1_concat_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("file", F.array_join(F.array_distinct(F.concat("F", "O")), " ").alias("codes"))
 
 
-@query("""
-    WITH banned AS (SELECT 'builtin.R' AS code)
-    SELECT t.code, count(*) AS kept FROM scored_tags t ANTI JOIN banned b ON t.code = b.code GROUP BY 1
-""")
-def flt17_sensitive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of a sensitive list go from every collection."""
-    banned = spark.createDataFrame([("builtin.R",)], "code string")
-    return views.scored_tags(spark, sf_dir).join(banned, "code", "left_anti").groupBy("code").agg(F.count(F.lit(1)).alias("kept"))
-
-
 @query("SELECT x AS concept, y AS opposite FROM (VALUES ('joy', 'sadness'), ('sadness', 'joy'), ('day', 'night'), ('night', 'day')) t(x, y)")
 def arb13_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame([("joy", "sadness"), ("day", "night")], "concept string, opposite string")
