@@ -176,10 +176,11 @@ def node_source(code: Column) -> Column:
 
 
 def part_of_speech(code: Column) -> Column:
-    """Told by the code's suffix."""
+    """Told by the code's suffix, for sources that have one."""
+    omw = code.startswith("omw.")
     return (
-        F.when(code.endswith(".v"), "verb")
-        .when(code.endswith(".n"), "noun")
-        .when((code.endswith(".a") & ~code.startswith("builtin.")) | code.endswith(".s"), "adj")
-        .when(code.endswith(".r"), "adv")
+        F.when(omw & code.endswith(".v"), "v")
+        .when((omw | code.startswith("hownet.")) & code.endswith(".n"), "n")
+        .when(omw & (code.endswith(".a") | code.endswith(".s")), "a")
+        .when(omw & code.endswith(".r"), "r")
     )

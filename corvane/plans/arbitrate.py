@@ -96,7 +96,15 @@ def set1_concat_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("file", F.array_join(F.array_distinct(F.concat("F", "O")), " ").alias("codes"))
 
 
-@query("SELECT x AS concept, y AS opposite FROM (VALUES ('joy', 'sadness'), ('sadness', 'joy'), ('day', 'night'), ('night', 'day')) t(x, y)")
+@query("""
+    WITH p AS (SELECT DISTINCT p_brand AS x, 'Brand#' || (25 - CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER)) AS y FROM part),
+    m AS (SELECT x, y FROM p WHERE x <> y UNION SELECT y, x FROM p WHERE x <> y),
+    k AS (SELECT x, min(y) AS opposite FROM m GROUP BY 1)
+    SELECT w.p_brand AS concept, opposite FROM (SELECT DISTINCT p_brand FROM part) w LEFT JOIN k ON k.x = w.p_brand
+""")
 def arb13_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("joy", "sadness"), ("day", "night")], "concept string, opposite string")
-    return pairs.unionAll(pairs.select("opposite", "concept"))
+    """The counterpart of a concept, whichever way its pair is written; none is none."""
+    brands = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("concept")).distinct()
+    pairs = brands.select(F.col("concept").alias("x"), F.concat(F.lit("Brand#"), (25 - F.regexp_extract("concept", "([0-9]+)", 1).cast("int")).cast("string")).alias("y")).where("x <> y")
+    both = pairs.union(pairs.select("y", "x")).distinct().groupBy(F.col("x").alias("concept")).agg(F.min("y").alias("opposite"))
+    return brands.join(both, "concept", "left")

@@ -25,16 +25,20 @@ def tre13_folded_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded_rollup(tagged_files(spark, sf_dir), segments(F.col("code_path")), RULES)
 
 
-POLICY_NODES = [("builtin.promo", None, False), ("builtin.small", None, False), ("builtin.economy", None, True), ("omw.run.v", None, False), ("builtin.x", "v", False), ("builtin.y", "m", False), ("builtin.y", "m", True), ("builtin.z", None, False), ("builtin.small", None, True), ("hownet.1.n", "n", False)]
+POLICY_CODES = ["builtin.promo", "builtin.small", "builtin.economy", "omw.run.v", "builtin.x", "hownet.1.n", "omw.red.a", "omw.big.s", "omw.fast.r", "_ext.v"]
+POLICY_POS = [None, "v", "m", "n", " A ", "x", "r", " q "]
 
 
-@query("""
-    SELECT * FROM (VALUES ('builtin.promo', FALSE, 'reject'), ('builtin.small', FALSE, 'hoist'), ('builtin.economy', TRUE, 'flatten'), ('omw.run.v', FALSE, 'flatten'), ('builtin.x', FALSE, 'flatten'),
-        ('builtin.y', FALSE, 'reject'), ('builtin.y', TRUE, 'keep'), ('builtin.z', FALSE, 'keep'), ('builtin.small', TRUE, 'keep'), ('hownet.1.n', FALSE, 'keep')) t(code, is_root, policy)
+@query(f"""
+    WITH n AS (SELECT p_partkey, ([{", ".join(repr(c) for c in POLICY_CODES)}])[1 + p_partkey % 10] AS code, ([NULL, 'v', 'm', 'n', ' A ', 'x', 'r', ' q '])[1 + p_size % 8] AS pos, p_partkey % 7 = 0 AS is_root FROM part),
+    a AS (SELECT *, code = 'builtin.economy' OR coalesce(lower(trim(pos)) IN ('v', 'a', 's', 'r'), FALSE) OR (starts_with(code, 'omw.') AND regexp_matches(code, '[.][vasr]$')) AS action FROM n)
+    SELECT p_partkey, CASE WHEN code = 'builtin.promo' THEN 'reject' WHEN is_root AND action THEN 'flatten' WHEN is_root THEN 'keep' WHEN trim(pos) IN ('m', 'q', 'p', 'c', 'u', 'y', 'o', 'h', 'w', 'b', 'x') THEN 'reject'
+                  WHEN action THEN 'flatten' WHEN code = 'builtin.small' THEN 'hoist' ELSE 'keep' END AS policy FROM a
 """)
 def tre13_fold_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spark.createDataFrame(POLICY_NODES, "code string, pos string, is_root boolean")
-    return nodes.select("code", "is_root", fold_policy(F.col("code"), F.col("pos"), F.col("is_root"), RULES).alias("policy"))
+    at = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    nodes = views.table(spark, sf_dir, "part").select("p_partkey", at(POLICY_CODES, F.col("p_partkey") % 10).alias("code"), at(POLICY_POS, F.col("p_size") % 8).alias("pos"), (F.col("p_partkey") % 7 == 0).alias("is_root"))
+    return nodes.select("p_partkey", fold_policy(F.col("code"), F.col("pos"), F.col("is_root"), RULES).alias("policy"))
 
 
 @query("""
@@ -91,9 +95,12 @@ def agg19_cluster_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT code, CASE WHEN code = 'a' THEN ['root'] WHEN code = 'b' THEN ['x', 'y'] ELSE [] END AS parents FROM (VALUES ('a'), ('b'), ('c'), ('d')) t(code)
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN lower(p_type) || '|' || lower(p_brand) WHEN 1 THEN lower(p_type) ELSE '' END AS parents, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM part
 """)
 def jsn1_parent_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent codes from JSON; what is no array is none."""
-    rows = spark.createDataFrame([("a", '["root"]'), ("b", '["x", "y"]'), ("c", "nope"), ("d", None)], "code string, parent_codes string")
-    return rows.select("code", F.coalesce(F.from_json("parent_codes", "array<string>"), F.array().cast("array<string>")).alias("parents"))
+    part = views.table(spark, sf_dir, "part")
+    kind, brand, key = F.lower("p_type"), F.lower("p_brand"), F.col("p_partkey") % 5
+    text = F.when(key == 0, F.to_json(F.array(kind, brand))).when(key == 1, F.concat(F.lit('[ "'), kind, F.lit('" ]'))).when(key == 2, F.concat(F.lit('{"a": "'), kind, F.lit('"}'))).when(key == 3, "nope")
+    parents = F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    return part.select("p_partkey", F.array_join(parents, "|").alias("parents"), F.size(parents).alias("n"))

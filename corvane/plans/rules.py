@@ -55,13 +55,16 @@ def flt21_excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT pos, lexfile, lemma, CASE WHEN lower(trim(pos)) IN ('c', 'u', 'p') THEN 'pos' WHEN lexfile IN ('noun.tops') THEN 'lexfile' WHEN lower(trim(lemma)) IN ('thing') THEN 'lemma' ELSE 'ok' END AS rejected
-    FROM (VALUES ('n', 'noun.food', 'bread'), (' C ', 'x', 'and'), ('n', 'noun.tops', 'entity'), ('n', 'noun.act', ' Thing '), (NULL, NULL, 'x')) t(pos, lexfile, lemma)
+    WITH r AS (SELECT word, (['n', ' C ', 'n', 'v', 'U', 'p ', NULL])[1 + (length(word) + unicode(word)) % 7] AS pos, CASE WHEN length(word) % 3 = 0 THEN 'noun.tops' WHEN length(word) % 3 = 1 THEN 'noun.food' END AS lexfile FROM words)
+    SELECT word, pos, lexfile, CASE WHEN lower(trim(pos)) IN ('c', 'u', 'p') THEN 'pos' WHEN lexfile IN ('noun.tops') THEN 'lexfile' WHEN word IN ('thing', 'part', 'the') THEN 'lemma' ELSE 'ok' END AS rejected FROM r
 """)
 def flt22_lexical_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("n", "noun.food", "bread"), (" C ", "x", "and"), ("n", "noun.tops", "entity"), ("n", "noun.act", " Thing "), (None, None, "x")], "pos string, lexfile string, lemma string")
+    """Closed word classes, banned lexicographer files and banned lemmas, the first of them."""
+    n = F.char_length("word")
+    pos = F.get(F.array(*map(F.lit, ["n", " C ", "n", "v", "U", "p ", None])), ((n + F.ascii("word")) % 7).cast("int"))
+    rows = views.words(spark, sf_dir).select("word", pos.alias("pos"), F.when(n % 3 == 0, "noun.tops").when(n % 3 == 1, "noun.food").alias("lexfile"))
     low = lambda c: F.lower(F.trim(c))
-    return rows.withColumn("rejected", F.when(low("pos").isin("c", "u", "p"), "pos").when(F.col("lexfile").isin("noun.tops"), "lexfile").when(low("lemma").isin("thing"), "lemma").otherwise("ok"))
+    return rows.withColumn("rejected", F.when(low("pos").isin("c", "u", "p"), "pos").when(F.col("lexfile").isin("noun.tops"), "lexfile").when(low("word").isin("thing", "part", "the"), "lemma").otherwise("ok"))
 
 
 @query("SELECT file, list(DISTINCT code ORDER BY code) AS codes FROM scored_tags WHERE code IN ('builtin.A', 'builtin.N') GROUP BY 1")
@@ -118,12 +121,17 @@ def str34_native_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.workspace_files(spark, sf_dir).select("id", F.translate("path", "/", "\\").alias("native"), F.concat(F.lit('path:"'), folder, F.lit('" '), F.trim(F.lit(" report "))).alias("phrase"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a see ONE b'), (2, 'TWO'), (3, 'none')) t(id, filled)")
+@query("""
+    SELECT p_partkey, 'see ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '{{img1}}' END || ' and ' || p_brand || CASE WHEN p_size % 3 = 0 THEN ' {{x' ELSE '' END || p_brand AS filled FROM part
+""")
 def str38_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recognised text in the place of its marks, mark by mark."""
-    rows = spark.createDataFrame([(1, "a see {{img1}} b", {"img1": "ONE"}), (2, "{{x}}", {"x": "TWO", "y": "no"}), (3, "none", {})], "id int, t string, found map<string,string>")
+    """Recognised text in the place of its marks, every mark of a picture, unknown ones stay."""
+    part = views.table(spark, sf_dir, "part")
+    text = F.concat(F.lit("see {{img1}} and {{img2}}"), F.when(F.col("p_size") % 3 == 0, " {{x").otherwise(""), F.lit("{{img2}}"))
+    found = F.map_from_arrays(F.array(F.when(F.col("p_size") % 2 == 0, "img1").otherwise("none"), F.lit("img2")), F.array("p_type", "p_brand"))
+    rows = part.select("p_partkey", text.alias("t"), found.alias("found"))
     filled = F.aggregate(F.map_entries("found"), F.col("t"), lambda acc, e: F.replace(acc, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"]))
-    return rows.select("id", filled.alias("filled"))
+    return rows.select("p_partkey", filled.alias("filled"))
 
 
 @query("SELECT p_partkey, p_name AS tag, 'builtin.' || lower(replace(p_brand, '#', '_')) AS concept, p_name = 'red widget' AS matches FROM part")
@@ -134,19 +142,27 @@ def str9_tag_matches_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("tag"), code.alias("concept"), F.coalesce(by_code, F.lower("p_name") == "red widget").alias("matches"))
 
 
-@query("SELECT label, count(*) AS vectors, count(DISTINCT (label % 5, 64)) AS scopes FROM embeddings WHERE label % 5 IN (0, 1) GROUP BY 1")
+@query("""
+    SELECT DISTINCT role || '|' || CASE WHEN turn % 2 = 0 THEN 64 ELSE 384 END || '|' || sha256(trim(coalesce(text, ''))) AS key FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''
+""")
 def hsh4_encode_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of one encoder and dimension are encoded once."""
-    e = views.table(spark, sf_dir, "embeddings").withColumn("encoder", F.col("label") % 5).where(F.col("encoder").isin(*CLASSIC_ENCODERS))
-    return e.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("encoder", F.size("embedding")).alias("scopes"))
+    """What is encoded once: an encoder, a dimension and a text; blank texts and other encoders are not."""
+    c = views.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    key = F.concat_ws("|", "role", F.when(F.col("turn") % 2 == 0, 64).otherwise(384).cast("string"), F.sha2(text, 256))
+    return c.where(text != "").select(key.alias("key")).distinct()
 
 
-@query("SELECT profile, CASE WHEN given IN (64, 256, 384, 512, 768) THEN given WHEN profile = 'unified' THEN 768 ELSE 512 END AS dim FROM (VALUES ('classic', 384), ('classic', 7), ('unified', NULL), ('unified', 256), (NULL, NULL)) t(profile, given)")
+@query("""
+    WITH r AS (SELECT p_partkey, (['classic', 'unified', NULL])[1 + p_partkey % 3] AS profile, ([384, 7, NULL, 256, 768, 512, 64])[1 + p_size % 7] AS given FROM part)
+    SELECT p_partkey, CASE WHEN given IN (64, 256, 384, 512, 768) THEN given WHEN profile = 'unified' THEN 768 ELSE 512 END AS dim FROM r
+""")
 def mth4_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The asked-for dimension if it is allowed, else the profile's own."""
-    rows = spark.createDataFrame([("classic", 384), ("classic", 7), ("unified", None), ("unified", 256), (None, None)], "profile string, given int")
+    at = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    rows = views.table(spark, sf_dir, "part").select("p_partkey", at(["classic", "unified", None], F.col("p_partkey") % 3).alias("profile"), at([384, 7, None, 256, 768, 512, 64], F.col("p_size") % 7).alias("given"))
     ok = F.coalesce(F.col("given").isin(64, 256, 384, 512, 768), F.lit(False))
-    return rows.select("profile", F.when(ok, F.col("given")).when(F.col("profile") == "unified", 768).otherwise(512).alias("dim"))
+    return rows.select("p_partkey", F.when(ok, F.col("given")).when(F.col("profile") == "unified", 768).otherwise(512).alias("dim"))
 
 
 @query("""
@@ -161,15 +177,23 @@ def mth9_great_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "n_regionkey").where("a < b").select("a", "b", F.round(2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(half))), 3).alias("km"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'given' WHEN vec_id % 4 = 1 THEN 'stored' WHEN vec_id % 4 = 2 THEN 'encoded' END AS origin FROM embeddings WHERE vec_id % 4 < 3")
+@query("""
+    WITH d AS (SELECT doc_id, text, doc_id % 6 = 0 AS owned, doc_id % 9 = 0 AS short FROM documents),
+    j AS (SELECT d.*, e.vec_id IS NOT NULL AND e.label % 5 IN (0, 1) AS kept FROM d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+    o AS (SELECT doc_id, CASE WHEN owned AND NOT short THEN 'given' WHEN kept THEN 'stored' WHEN trim(coalesce(text, '')) <> '' THEN 'encoded' END AS origin FROM j)
+    SELECT doc_id, origin FROM o WHERE origin IS NOT NULL
+""")
 def clu2_vector_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's own vector of the right dimension, else the stored one, else one of its text; others drop."""
-    e = views.table(spark, sf_dir, "embeddings")
-    k = F.col("vec_id") % 4
-    own, kept, made = F.when(k == 0, F.col("embedding")), F.when(k == 1, F.col("embedding")), F.when(k == 2, F.col("embedding"))
-    fits = lambda v: F.when(F.size(v) == 64, v)
-    origin = F.when(fits(own).isNotNull(), "given").when(fits(kept).isNotNull(), "stored").when(fits(made).isNotNull(), "encoded")
-    return e.select("vec_id", origin.alias("origin")).where("origin IS NOT NULL")
+    """A document's own vector of the right dimension, else the stored one of an allowed encoder, else one of its
+    text; documents without any drop."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when((F.col("label") % 5).isin(*CLASSIC_ENCODERS), F.col("embedding")).alias("kept"))
+    own = F.when(F.col("doc_id") % 6 == 0, F.when(F.col("doc_id") % 9 == 0, F.array_repeat(F.lit(1.0), 8)).otherwise(F.array_repeat(F.lit(1.0), 64)))
+    made = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", V.hashed_words(F.col("text")))
+    fits = lambda v: F.size(v) == 64
+    rows = docs.join(e, "doc_id", "left").select("doc_id", own.alias("own"), "kept", made.alias("made"))
+    origin = F.when(fits(F.col("own")), "given").when(fits(F.col("kept")), "stored").when(fits(F.col("made")), "encoded")
+    return rows.select("doc_id", origin.alias("origin")).where("origin IS NOT NULL")
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[])[1:32], lambda x: x * x))), 6) END AS first FROM embeddings")
@@ -201,19 +225,31 @@ def txt12_slot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT DISTINCT doc_id, word FROM tokens WHERE length(word) = 5),
-    known AS (SELECT word, 'builtin.k_' || word AS code FROM words WHERE length(word) = 5 AND word < 'm')
-    SELECT doc_id, w.word, coalesce(k.code, '_ext.' || regexp_replace(w.word, '[^a-z0-9]+', '_', 'g') || '.' || left(sha256(w.word), 8)) AS code, k.code IS NULL AS minted
-    FROM w LEFT JOIN known k USING (word) WHERE k.code IS NOT NULL OR (regexp_matches(w.word, '^[a-z]+$') AND w.word >= 't')
+    WITH w AS (SELECT DISTINCT doc_id, word, (length(word) * 31 + unicode(word)) % 400 AS word_vec FROM tokens),
+    known AS (SELECT word, 'builtin.k_' || word AS code FROM words WHERE unicode(word) % 7 = 0),
+    a AS (SELECT w.doc_id, w.word, k.code, list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS near
+          FROM w LEFT JOIN known k USING (word) LEFT JOIN embeddings d ON d.vec_id = w.doc_id AND w.doc_id % 10 <> 9 LEFT JOIN embeddings e ON e.vec_id = w.word_vec)
+    SELECT doc_id, word, coalesce(code, '_ext.' || trim(regexp_replace(word, '[^a-z0-9]+', '_', 'g'), '_') || '.' || left(sha256(word), 8)) AS code, code IS NULL AS minted
+    FROM a WHERE code IS NOT NULL OR (near >= 0.36 AND regexp_matches(word, '[a-z]') AND word NOT IN ('the', 'and', 'of', 'to', 'der', 'die', 'und', 'les', 'des', 'que', 'los', 'las', 'una', 'null', 'none', 'unknown', 'undefined', 'other')
+             AND NOT (regexp_matches(word, '^[a-f]+$') AND length(word) IN (8, 16, 32, 40, 64)))
 """)
 def txt9_text_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Controlled codes of a text's words; a word without one gets a new code only where an anchor allows it
-    (here: words from ``t`` on) and the admissibility rules do."""
-    w = views.tokens(spark, sf_dir).where(F.char_length("word") == 5).distinct()
-    known = views.words(spark, sf_dir).where((F.char_length("word") == 5) & (F.col("word") < "m")).select("word", F.concat(F.lit("builtin.k_"), "word").alias("code"))
-    joined = w.join(known, "word", "left")
-    mint = F.col("word").rlike("^[a-z]+$") & (F.col("word") >= "t")
-    return joined.where(F.col("code").isNotNull() | mint).select("doc_id", "word", F.coalesce("code", T.extension_code(F.col("word"))).alias("code"), F.col("code").isNull().alias("minted"))
+    """Controlled codes of a text's words. A word without one gets a new code only if the admissibility rules
+    accept it and its vector is near that of the text; a text without a vector mints none."""
+    from .identify import FRAMES, RESERVED, STOPWORDS
+
+    words = views.tokens(spark, sf_dir).distinct().withColumn("word_vec", (F.char_length("word") * 31 + F.ascii("word")) % 400)
+    known = views.words(spark, sf_dir).where(F.ascii("word") % 7 == 0).select("word", F.concat(F.lit("builtin.k_"), "word").alias("code"))
+    joined = words.join(known, "word", "left")
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # words are judged and compared only where no code is known, each pair of vectors once
+    open_words = joined.where("code IS NULL AND doc_id % 10 <> 9")
+    open_words = open_words.where(F.col("word").rlike("[a-z]") & (T.tag_verdict(F.col("word"), STOPWORDS, RESERVED, FRAMES) == "ok"))
+    pairs = open_words.select("doc_id", "word_vec").distinct()
+    pairs = pairs.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d")), "doc_id").join(e.select(F.col("vec_id").cast("int").alias("word_vec"), F.col("embedding").alias("w")), "word_vec")
+    near = pairs.where(V.cosine(F.col("d"), F.col("w")) >= 0.36).select("doc_id", "word_vec")
+    minted = open_words.join(near, ["doc_id", "word_vec"], "left_semi").select("doc_id", "word", T.extension_code(F.col("word")).alias("code"), F.lit(True).alias("minted"))
+    return joined.where("code IS NOT NULL").select("doc_id", "word", "code", F.lit(False).alias("minted")).unionByName(minted)
 
 
 @query("""

@@ -286,13 +286,17 @@ def agg6_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT * FROM (VALUES ('builtin.a'), ('omw.run.v'), ('hownet.12.n'), ('_ext.x'), ('mine'), ('omw.big.s'), ('omw.red.a'), ('omw.fast.r')) t(code))
+    WITH n AS (SELECT DISTINCT (['builtin.', 'omw.', 'hownet.', '_ext.', 'mine.', ''])[1 + p_partkey % 6] || lower(p_type) || (['', '.v', '.n', '.a', '.s', '.r'])[1 + p_size % 6] AS code FROM part)
     SELECT code, CASE WHEN code LIKE 'builtin.%' THEN 'builtin' WHEN code LIKE 'omw.%' THEN 'omw' WHEN code LIKE 'hownet.%' THEN 'hownet' WHEN code LIKE '\\_ext.%' ESCAPE '\\' THEN '_ext' ELSE 'user' END AS source,
-           CASE WHEN code LIKE '%.v' THEN 'verb' WHEN code LIKE '%.n' THEN 'noun' WHEN code LIKE '%.a' AND code NOT LIKE 'builtin.%' THEN 'adj' WHEN code LIKE '%.s' THEN 'adj' WHEN code LIKE '%.r' THEN 'adv' END AS pos
+           CASE WHEN code LIKE 'omw.%.v' THEN 'v' WHEN code LIKE 'omw.%.n' OR code LIKE 'hownet.%.n' THEN 'n' WHEN code LIKE 'omw.%.a' OR code LIKE 'omw.%.s' THEN 'a' WHEN code LIKE 'omw.%.r' THEN 'r' END AS pos
     FROM n
 """)
 def tre10_source_and_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(c,) for c in ("builtin.a", "omw.run.v", "hownet.12.n", "_ext.x", "mine", "omw.big.s", "omw.red.a", "omw.fast.r")], "code string")
+    """Where a code comes from, by its prefix, and its part of speech, by its suffix where its source has one."""
+    part = views.table(spark, sf_dir, "part")
+    at = lambda values, k: F.get(F.array(*map(F.lit, values)), k.cast("int"))
+    code = F.concat(at(["builtin.", "omw.", "hownet.", "_ext.", "mine.", ""], F.col("p_partkey") % 6), F.lower("p_type"), at(["", ".v", ".n", ".a", ".s", ".r"], F.col("p_size") % 6))
+    codes = part.select(code.alias("code")).distinct()
     return codes.select("code", node_source(F.col("code")).alias("source"), part_of_speech(F.col("code")).alias("pos"))
 
 

@@ -162,6 +162,108 @@ def test_average_linkage():
     assert cluster.average_linkage(v[:1], 0.4).tolist() == [0]
 
 
+def test_clusters_do_not_depend_on_blocks(spark):
+    """Clouds far apart, every vector twice: the same clusters from one block and from blocks of eight."""
+    rng = np.random.default_rng(4)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0][:6]
+    rows = []
+    for k in range(120):
+        v = (centres[k % 6] + rng.normal(size=16) * 0.03).tolist()
+        rows += [(f"a{k:03}", k % 2, v), (f"b{k:03}", k % 2, v)]
+    rows += [("zero", 0, [0.0] * 16), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "fp string, label int, embedding array<double>")
+    whole = {(r.fp, r.cluster) for r in cluster.clusters(df, "label").collect()}
+    dealt = {(r.fp, r.cluster) for r in cluster.clusters(df, "label", block=8).collect()}
+    want = {}
+    for fp, label, v in rows[:-2]:
+        want.setdefault((label, int(fp[1:]) % 6), []).append(fp)
+    assert whole == dealt == {(fp, min(fps)) for fps in want.values() for fp in fps}
+    folders = cluster.cluster_vectors(df.where("fp IN ('a000', 'b000', 'a002')"), "label").collect()
+    assert {(r.fp, r.folder) for r in folders} == {("a000", "0/a000"), ("b000", "0/a000"), ("a002", "0/unclassified")}
+    assert cluster.clusters(df.limit(0), "label").count() == 0
+
+
+def test_searches_equal_brute_force(spark, monkeypatch):
+    """Blocks of queries, ties by name, rows of another dimension left out."""
+    from corvane.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(60, 8)), 1)
+    vectors[10:20] = vectors[0]
+    rows = [(f"v{k:02}", k % 4, k, v.tolist()) for k, v in enumerate(vectors)] + [("short", 0, 99, [1.0])]
+    df = spark.createDataFrame(rows, "fp string, item int, idx int, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(k, vectors[k].tolist()) for k in range(7)], "query_id long, vector array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    score = np.round(unit[:7] @ unit.T, 6) + 0.0
+    want = {(q, r + 1, f"v{k:02}") for q in range(7) for r, k in enumerate(sorted(range(60), key=lambda k: (-score[q, k], k))[:5])}
+    assert {(r.query_id, r["rank"], r.fp) for r in search.top_k(df, asked, 5).collect()} == want
+    assert {(r.query_id, r.fp) for r in search.above(df, asked, 0.3).collect()} == {(q, f"v{k:02}") for q in range(7) for k in range(60) if score[q, k] >= 0.3}
+    best = {(r.query_id, r.item): r.best_index for r in search.best_passages(df, asked).collect()}
+    assert best == {(q, i): min(range(i, 60, 4), key=lambda k: (-score[q, k], k)) for q in range(7) for i in range(4)}
+    assert search.top_k(df, asked.limit(0), 5).count() == 0
+
+
+def test_near_classes(spark):
+    from corvane.operators.similar import near_classes
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice([0, -1, 1 << 62, 12345]) ^ sum(1 << rng.randrange(63) for _ in range(rng.randint(0, 3)))) for k in range(200)] + [(900, None), (901, None)]
+    rows = [(k, b if b is None or b < 1 << 63 else b - (1 << 64)) for k, b in rows]
+    for most in (1, 3):
+        root = {k: k for k, _ in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, x in rows:
+            for j, y in rows:
+                if i < j and x is not None and y is not None and ((x ^ y) % (1 << 64)).bit_count() <= most:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        found = {r.id: r.class_id for r in near_classes(spark.createDataFrame(rows, "id long, bits long"), most).collect()}
+        assert found == {k: find(k) for k, _ in rows}
+
+
+def test_names(spark):
+    from corvane.functions import naming as N
+
+    assert one(spark, "　ＡＢＣ①ﬁ\u00a0", N.lemma(F.col("x"))) == "abc1fi"
+    assert one(spark, "  Plain Word ", N.lemma(F.col("x"))) == "plain word"
+    cases = {("徐冰", "x"): True, ("一个", "m"): False, ("这两种", "x"): False, ("北京", "ns"): False, ("华为", "nz"): True, ("徐冰徐冰", "x"): False, ("徐", "x"): False}
+    rows = spark.createDataFrame([(w, p) for w, p in cases], "w string, p string")
+    assert {(r.w, r.p): r.ok for r in rows.select("w", "p", N.proper_candidate(F.col("w"), F.col("p")).alias("ok")).collect()} == cases
+    pairs = {("网络", "n", "问题", "n"): True, ("部分", "n", "人员", "n"): False, ("画面", "n", "中央", "n"): False, ("城市", "n", "治理", "v"): True, ("跑", "v", "人", "n"): False}
+    rows = spark.createDataFrame(list(pairs), "m string, mp string, h string, hp string")
+    ok = N.compound_candidate(F.col("m"), F.col("mp"), F.col("h"), F.col("hp"), F.lit(True), ["部分", "问题"], ["垃圾"])
+    assert {(r.m, r.mp, r.h, r.hp): r.ok for r in rows.select("*", ok.alias("ok")).collect()} == pairs
+    alone = N.standalone_candidate(F.col("w"), F.col("p"), F.lit(True), ["数据"])
+    words = {("训练营", "n"): True, ("数据", "n"): False, ("跑步", "v"): False, ("徐冰", "x"): True, ("OCR", "eng"): True}
+    rows = spark.createDataFrame(list(words), "w string, p string")
+    assert {(r.w, r.p): r.ok for r in rows.select("w", "p", alone.alias("ok")).collect()} == words
+
+
+def test_inspection_text(spark):
+    from corvane.functions.naming import inspection_text
+
+    long = "é" * 10_000
+    rows = spark.createDataFrame([(1, long, None), (2, None, "p"), (3, " ", ""), (4, "body", "prompt"), (5, "x" * 12_288, None), (6, long, long)], "i int, a string, b string")
+    found = {r.i: r.t for r in rows.select("i", inspection_text("a", "b").alias("t")).collect()}
+    assert found[1] == "é" * 4096 + "\n...\n" + "é" * 2048 and found[6] == "é" * 4096 + "\n" + "é" * 4096
+    assert (found[2], found[3], found[4], found[5]) == ("p", "", "body\nprompt", "x" * 12_288)
+
+
+def test_diverse_keywords_weigh_every_word(spark):
+    """A rare word unlike the others wins over the many frequent ones that resemble the first choice."""
+    from corvane.operators.enrich import diverse_keywords
+
+    text = " ".join([f"aaaa{'b' * (k % 3)}aaaa{'a' * k}" for k in range(80)] * 3 + ["zyxw"])
+    found = diverse_keywords(spark.createDataFrame([(1, text)], "id int, text string"), k=2, diversity=0.9).first().keywords
+    assert found[1] == "zyxw"
+
+
 def test_crash_breaker(spark):
     rows = [(1, 1, "error"), (1, 2, "error"), (2, 1, "error"), (3, 1, "error"), (3, 2, "signup"), (4, 1, "signup"), (4, 2, "error"), (5, 1, "view")]
     got = {r.boot: (r.crashes, r.is_open) for r in crash_breaker(spark.createDataFrame(rows, "boot long, at long, kind string")).collect()}
