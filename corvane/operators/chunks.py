@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Marks that end a clause; those of the first class end a sentence.
 STRONG, MEDIUM, WEAK = "。！？!?\n", "；;：:…", "，,、.—"
@@ -76,3 +77,40 @@ def chunk_texts(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "chunk_no", "chunk", "n_chunks"])
 
     return rows.mapInPandas(run, "id string, chunk_no int, chunk string, n_chunks int")
+
+
+def document_chunks(rows: DataFrame, most: int = 1200, core: int = 400) -> DataFrame:
+    """(id, chunk_no, title, heading, chunk) from (id, title, text): runs of whole paragraphs of at most ``most``
+    characters that never cross a heading; a longer paragraph stands alone. Chunk 0 is the core: the title and
+    the first ``core`` characters, cut at a word. A blank text has a core only."""
+
+    def one(title: str, text: str) -> list[tuple[str, str]]:
+        words = " ".join(text.split())
+        cut = words if len(words) <= core else words[:core].rsplit(" ", 1)[0]
+        out, heading, held, size = [("", f"{title}\n{cut}".strip())], "", [], 0
+
+        def close() -> None:
+            nonlocal held, size
+            if held:
+                out.append((heading, "\n".join(held)))
+                held, size = [], 0
+
+        for line in filter(None, map(str.strip, text.split("\n"))):
+            if line.startswith("#") and line.lstrip("#").strip():
+                close()
+                heading = line.lstrip("#").strip()
+                continue
+            if held and size + len(line) + 1 > most:
+                close()
+            held.append(line)
+            size += len(line) + 1
+        close()
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = [(i, k, t or "", h, c) for i, t, x in zip(part["id"], part["title"], part["text"], strict=True) for k, (h, c) in enumerate(one(t or "", x or ""))]
+            yield pd.DataFrame(out, columns=["id", "chunk_no", "title", "heading", "chunk"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", F.col("title").cast("string").alias("title"), "text").mapInPandas(run, f"id {kind}, chunk_no int, title string, heading string, chunk string")

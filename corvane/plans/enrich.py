@@ -39,11 +39,13 @@ def str31_extension_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT * FROM (VALUES (1, 'Text here.'), (2, 'before after'), (3, 'names'), (4, ''), (5, 'plain')) t(id, clean)
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN p_name || ' after' WHEN 3 THEN '' ELSE p_name END AS clean FROM part
 """)
 def str26_template_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "[Class] Text here."), (2, "before 产生时间: 2024-01-01。after"), (3, "核心要点：names"), (4, "  "), (5, "plain")], "id int, t string")
-    return rows.select("id", E.strip_template(F.col("t")).alias("clean"))
+    """Labels, time stamps and headings of a template go, what stands between them stays."""
+    name, key = F.col("p_name"), F.col("p_partkey") % 5
+    text = F.when(key == 0, F.concat(F.lit("[Class] "), name)).when(key == 1, F.concat(name, F.lit(" 产生时间: 2024-01-01。after"))).when(key == 2, F.concat(F.lit("核心要点："), name)).when(key == 3, "  ").otherwise(name)
+    return views.table(spark, sf_dir, "part").select("p_partkey", E.strip_template(text).alias("clean"))
 
 
 @query("""
@@ -65,19 +67,26 @@ def str27_enriched_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, TRUE), (5, FALSE), (6, FALSE)) t(id, degenerate)
+    SELECT event_id, event_id % 6 IN (0, 2, 3) AS degenerate FROM events
 """)
 def str37_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [9, 5, 5, 5, 5]), (2, [5, 5, 5]), (3, [1, 2, 1, 2, 1, 2]), (4, [1, 2, 3, 4, 1, 2, 3, 4]), (5, [1, 2, 3, 4, 5, 6, 7, 8]), (6, [])], "id int, tokens array<int>")
-    return rows.select("id", E.is_degenerate(F.col("tokens")).alias("degenerate"))
+    """One token four times, two three times over, four twice over; not three of one, nor what only looks alike."""
+    x, key = (F.col("event_id") % 1000).cast("int"), F.col("event_id") % 6
+    run = lambda *steps: F.array(*[(x + k).cast("int") for k in steps])
+    tokens = F.when(key == 0, run(9, 5, 5, 5, 5)).when(key == 1, run(5, 5, 5)).when(key == 2, run(1, 2, 1, 2, 1, 2)).when(key == 3, run(1, 2, 3, 4, 1, 2, 3, 4)).when(key == 4, run(1, 2, 3, 4, 5, 6, 7, 8)).otherwise(F.array().cast("array<int>"))
+    return views.table(spark, sf_dir, "events").select("event_id", E.is_degenerate(tokens).alias("degenerate"))
 
 
 @query("""
-    SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, FALSE), (5, FALSE), (6, TRUE)) t(id, complete)
+    SELECT event_id, event_id % 6 IN (0, 2, 3) AS complete FROM events
 """)
 def str36_json_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '{"a": {"b": 1}}'), (2, '{"a": {"b": 1}'), (3, ' {"a": "}\\" {"} '), (4, "[1]"), (5, ""), (6, "{}")], "id int, t string")
-    return rows.select("id", E.is_complete_json(F.col("t")).alias("complete"))
+    """Balanced braces outside of strings: whole objects, with space around or nested, but no torn ones, lists or blanks."""
+    props, key = F.col("props"), F.col("event_id") % 6
+    torn = F.substring(props, F.lit(1), F.char_length(props) - 1)
+    nested = F.concat(F.lit('{"a": '), props, F.lit(', "b": "}\\" {"}'))
+    text = F.when(key == 0, props).when(key == 1, torn).when(key == 2, F.concat(F.lit(" "), props, F.lit(" "))).when(key == 3, nested).when(key == 4, "[1]").otherwise("")
+    return views.table(spark, sf_dir, "events").select("event_id", E.is_complete_json(text).alias("complete"))
 
 
 @query("""

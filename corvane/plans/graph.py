@@ -92,14 +92,16 @@ def jn14_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH c AS (SELECT n_name, lat, lng, c_custkey, clat, clng FROM (
-        SELECT c_custkey, (n_nationkey * 6.5 - 80) + (c_custkey % 7) * 0.2 AS clat, (n_nationkey * 13.0 - 160) + (c_custkey % 5) * 0.2 AS clng FROM customer JOIN nation ON c_nationkey = n_nationkey) q,
+        SELECT c_custkey, CASE WHEN c_custkey % 31 = 0 THEN 95.0 ELSE (n_nationkey * 6.5 - 80) + (c_custkey % 7) * 0.2 END AS clat, (n_nationkey * 13.0 - 160) + (c_custkey % 5) * 0.2 AS clng FROM customer JOIN nation ON c_nationkey = n_nationkey) q,
         (SELECT n_name, n_nationkey * 6.5 - 80 AS lat, n_nationkey * 13.0 - 160 AS lng FROM nation) p),
     d AS (SELECT c_custkey, n_name, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2)))) AS km FROM c),
-    best AS (SELECT c_custkey, arg_min(n_name, km) AS place, min(km) AS km FROM d GROUP BY 1)
+    nearest AS (SELECT c_custkey, arg_min(n_name, (km, n_name)) AS place, min(km) AS km FROM d GROUP BY 1),
+    best AS (SELECT c_custkey, CASE WHEN c_custkey % 37 = 0 THEN 'Site ' || c_custkey WHEN c_custkey % 31 <> 0 THEN place END AS place, CASE WHEN c_custkey % 37 = 0 THEN 0.0 WHEN c_custkey % 31 <> 0 THEN km END AS km FROM nearest)
     SELECT c_custkey, CASE WHEN km <= 500 THEN place END AS place, CASE WHEN km <= 500 THEN round(km, 3) END AS distance_km, CASE WHEN km <= 50 THEN 'city' WHEN km <= 500 THEN 'province' ELSE 'none' END AS tier FROM best
 """)
 def jn18_reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest place within 500 km: a city up to 50 km, a province beyond.
+    """The nearest place within 500 km, the first by name of equals: a city up to 50 km, a province beyond.
+    A place stated for a point comes before all others; a point beyond the globe has none.
 
     Points and places meet in cells of five degrees of latitude and ten of
     longitude. A place is listed in every cell that 500 km around it can touch,
@@ -108,7 +110,9 @@ def jn18_reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     nation, customer = views.table(spark, sf_dir, "nation"), views.table(spark, sf_dir, "customer")
     places = nation.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 6.5 - 80).alias("lat"), (F.col("n_nationkey") * 13.0 - 160).alias("lng"))
-    points = customer.select("c_custkey", (F.col("c_nationkey") * 6.5 - 80 + (F.col("c_custkey") % 7) * 0.2).alias("clat"), (F.col("c_nationkey") * 13.0 - 160 + (F.col("c_custkey") % 5) * 0.2).alias("clng"))
+    points = customer.select("c_custkey", F.when(F.col("c_custkey") % 31 == 0, 95.0).otherwise(F.col("c_nationkey") * 6.5 - 80 + (F.col("c_custkey") % 7) * 0.2).alias("clat"), (F.col("c_nationkey") * 13.0 - 160 + (F.col("c_custkey") % 5) * 0.2).alias("clng"))
+    stated = customer.where("c_custkey % 37 = 0").select("c_custkey", F.concat(F.lit("Site "), "c_custkey").alias("stated"))
+    valid = (F.abs("clat") <= 90) & (F.abs("clng") <= 180)
     reach = 4.6  # degrees of latitude in 500 km, rounded up
     band = lambda c: F.floor((c + 90) / 5)
     cell = lambda c: F.floor((c + 180) / 10)
@@ -119,7 +123,8 @@ def jn18_reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = listed.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(cell(F.col("lng") - wide), cell(F.col("lng") + wide)), lambda x: F.pmod(x, F.lit(36))))))
     half = F.sin(F.radians(F.col("lat") - F.col("clat")) / 2) ** 2 + F.cos(F.radians("clat")) * F.cos(F.radians("lat")) * F.sin(F.radians(F.col("lng") - F.col("clng")) / 2) ** 2
     km = 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
-    best = points.withColumns({"band": band(F.col("clat")), "cell": F.pmod(cell(F.col("clng")), F.lit(36))}).join(listed, ["band", "cell"], "left").withColumn("km", km).groupBy("c_custkey").agg(F.min_by("name", "km").alias("name"), F.min("km").alias("km"))
+    best = points.withColumns({"band": F.when(valid, band(F.col("clat"))), "cell": F.pmod(cell(F.col("clng")), F.lit(36))}).join(listed, ["band", "cell"], "left").withColumn("km", km).groupBy("c_custkey").agg(F.min_by("name", F.struct("km", "name")).alias("name"), F.min("km").alias("km"))
+    best = best.join(stated, "c_custkey", "left").withColumns({"name": F.coalesce("stated", "name"), "km": F.when(F.col("stated").isNotNull(), 0.0).otherwise(F.col("km"))})
     near = F.coalesce(F.col("km") <= 500, F.lit(False))
     return best.select("c_custkey", F.when(near, F.col("name")).alias("place"), F.when(near, F.round("km", 3)).alias("distance_km"), F.when(near & (F.col("km") <= 50), "city").when(near, "province").otherwise("none").alias("tier"))
 

@@ -215,13 +215,17 @@ def set4_pair_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT locale, CASE WHEN starts_with(lower(locale), 'zh') THEN 'zh' WHEN starts_with(lower(locale), 'ja') THEN 'ja' WHEN starts_with(lower(locale), 'fr') THEN 'fr' WHEN starts_with(lower(locale), 'de') THEN 'de' WHEN starts_with(lower(locale), 'es') THEN 'es' ELSE 'en' END AS language
-    FROM (VALUES ('zh-CN'), ('ZH'), ('fr_CA'), ('de'), ('es-MX'), ('pt'), (''), ('ja')) t(locale)
+    WITH l AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN upper(lang) || '-XX' WHEN 2 THEN lang || '_yy' ELSE 'x' || lang END AS locale FROM documents
+               UNION SELECT unnest(['zh-CN', 'ZH', 'ja_JP', 'pt-BR', '']))
+    SELECT locale, CASE WHEN left(lower(locale), 2) IN ('zh', 'ja', 'fr', 'de', 'es') THEN left(lower(locale), 2) ELSE 'en' END AS language FROM l
 """)
 def str10_locale_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("zh-CN", "ZH", "fr_CA", "de", "es-MX", "pt", "", "ja")], "locale string")
-    low, out = F.lower("locale"), None
+    """The language that a locale begins with, English for all others."""
+    key = F.col("doc_id") % 4
+    locale = F.when(key == 0, F.col("lang")).when(key == 1, F.concat(F.upper("lang"), F.lit("-XX"))).when(key == 2, F.concat("lang", F.lit("_yy"))).otherwise(F.concat(F.lit("x"), "lang"))
+    given = spark.createDataFrame([(x,) for x in ("zh-CN", "ZH", "ja_JP", "pt-BR", "")], "locale string")
+    rows = views.table(spark, sf_dir, "documents").select(locale.alias("locale")).union(given).distinct()
+    low, out = F.lower("locale"), F.lit("en")
     for lang in ("zh", "ja", "fr", "de", "es"):
-        rule = low.startswith(lang)
-        out = F.when(rule, lang) if out is None else out.when(rule, lang)
-    return rows.select("locale", out.otherwise("en").alias("language"))
+        out = F.when(low.startswith(lang), lang).otherwise(out)
+    return rows.select("locale", out.alias("language"))

@@ -76,11 +76,16 @@ def jsn2_metadata_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", pick("k").try_cast("double").alias("k"), pick("missing").alias("missing"), F.coalesce(pick("latitude"), pick("k")).alias("alternate"))
 
 
-@query("SELECT dim, CAST(threshold AS DOUBLE) AS threshold, multi FROM (VALUES ('a', 0.6, TRUE), ('b', 0.75, FALSE), ('c', 0.6, FALSE), ('d', 0.5, TRUE)) t(dim, threshold, multi)")
+@query("""
+    WITH b AS (SELECT DISTINCT p_brand AS dim, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS k FROM part)
+    SELECT dim, CAST(CASE WHEN k % 3 = 0 THEN 0.75 ELSE 0.6 END AS DOUBLE) AS threshold, FALSE AS multi FROM b
+    UNION ALL SELECT 'new ' || dim, CAST(0.5 AS DOUBLE), TRUE FROM b WHERE k % 3 = 1
+""")
 def jsn3_policy_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults overlaid by a configuration in JSON; what cannot be read changes nothing."""
-    base = spark.createDataFrame([("a", 0.6, True), ("b", 0.6, False), ("c", 0.6, False)], "dim string, threshold double, multi boolean")
-    config = spark.createDataFrame([('[{"dim": "b", "threshold": 0.75}, {"dim": "d", "threshold": 0.5, "multi": true}]',), ("{broken",)], "value string")
-    over = config.select(F.explode(F.coalesce(F.from_json("value", "array<struct<dim:string,threshold:double,multi:boolean>>"), F.array())).alias("p")).select("p.*").where("dim IS NOT NULL")
-    over = over.toDF("dim", "t", "m")
+    """Defaults overlaid by configurations in JSON; fields left out keep theirs, what cannot be read changes nothing."""
+    brands = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("dim"), (F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") % 3).alias("k")).distinct()
+    base = brands.select("dim", F.lit(0.6).alias("threshold"), F.lit(False).alias("multi"))
+    text = F.when(F.col("k") == 0, F.concat(F.lit('[{"dim": "'), "dim", F.lit('", "threshold": 0.75}]'))).when(F.col("k") == 1, F.concat(F.lit('[{"dim": "new '), "dim", F.lit('", "threshold": 0.5, "multi": true}]'))).otherwise("{broken")
+    policies = F.coalesce(F.from_json(text, "array<struct<dim:string,threshold:double,multi:boolean>>"), F.array())
+    over = brands.select(F.explode(policies).alias("p")).select("p.*").where("dim IS NOT NULL").toDF("dim", "t", "m")
     return base.join(over, "dim", "full").select("dim", F.coalesce("t", "threshold", F.lit(0.6)).alias("threshold"), F.coalesce("m", "multi", F.lit(True)).alias("multi"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.chunks import chunk_texts
+from ..operators.chunks import chunk_texts, document_chunks
 from ..sources import views
 from .base import query
 
@@ -260,7 +260,8 @@ _decoded = lambda x: "".join(["replace(" * len(ENTITIES), x, *[f", '{k}', '{v.re
 @query(rf"""
     WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
     SELECT page_id, sha256(trim(regexp_replace({_decoded("t")}, '[ 	
-]+', ' ', 'g'))) AS text_sha256 FROM b
+
+]+', ' ', 'g'))) AS text_sha256 FROM b
 """)
 def src7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All visible text of a page, menus and all: markup goes, the usual entities are decoded, the ampersand's last."""
@@ -277,3 +278,20 @@ def src9_preview_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("/a/File"), F.when(k == 0, ".AVIF").when(k == 1, ".mov").when(k == 2, ".m4a").when(k == 3, ".JPG").otherwise(".txt"))
     known = F.create_map(*[F.lit(x) for kv in PREVIEW.items() for x in kv])
     return views.table(spark, sf_dir, "pages").select("page_id", F.try_element_at(known, F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))).alias("preview"))
+
+
+@query()
+def txt5_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, characters in them and the longest one of each text; a text beyond two million characters is refused."""
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    fits = docs.where(F.char_length(F.coalesce("text", F.lit(""))) <= 2_000_000)
+    each = chunk_texts(fits).groupBy("id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("chunk")).alias("chars"), F.max(F.char_length("chunk")).alias("longest"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return docs.select("id", (F.char_length(F.coalesce("text", F.lit(""))) > 2_000_000).alias("refused")).join(each, "id", "left").select("id", "refused", zero("chunks"), zero("chars"), zero("longest"))
+
+
+@query()
+def txt6_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole paragraphs under a title, the core of the document first."""
+    docs = views.table(spark, sf_dir, "documents")
+    return document_chunks(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"))

@@ -12,7 +12,7 @@ from corvane.operators import arbitration, chunks, cluster, folding, hashes, tre
 from corvane.operators.graph import ancestors, components
 from corvane.operators.state import crash_breaker
 from corvane.plans import identify, texts
-from corvane.sources.files import list_files, optional, table_or_empty
+from corvane.sources.files import list_files, list_tree, optional, table_or_empty
 from corvane.streaming.windows import hourly, stream_table, write_hours
 
 
@@ -155,6 +155,24 @@ def test_chunks():
     assert " ".join(chunks.chunks(words)) == words and max(map(len, chunks.chunks(words))) <= 38 + chunks.TAIL
 
 
+def test_document_chunks(spark):
+    text = "Intro here.\n# First\n" + "a" * 700 + "\n" + "b" * 700 + "\n## Second\n\nEnd. " + "w " * 300
+    rows = spark.createDataFrame([(1, "T", text), (2, None, None)], "id int, title string, text string")
+    found = {(r.id, r.chunk_no): (r.heading, r.chunk) for r in chunks.document_chunks(rows).collect()}
+    assert [found[1, k][0] for k in range(1, 5)] == ["", "First", "First", "Second"] and found[2, 0] == ("", "") and len(found) == 6
+    assert found[1, 2][1] == "a" * 700 and found[1, 1][1] == "Intro here." and found[1, 0][1].startswith("T\nIntro here. # First")
+
+
+def test_chunk_counts_hold_the_text(spark):
+    from corvane.plans.texts import txt5_chunk_counts
+
+    rows = txt5_chunk_counts(spark, "/root/testdata/sf0.001").collect()
+    texts_ = {str(r.doc_id): r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in rows:
+        letters = lambda x: "".join(x.split())
+        assert not r.refused and r.chars >= len(letters(texts_[r.id])) and (r.chunks > 0) == bool(letters(texts_[r.id]))
+
+
 def test_average_linkage():
     v = np.array([[1, 0], [0.99, 0.05], [0, 1], [0.02, 1], [-1, 0]])
     label = cluster.average_linkage(v, 0.4)
@@ -275,6 +293,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a" / "x.txt").write_text("hello")
     found = list_files(spark, str(tmp_path)).collect()
     assert [(r.name, r["size"]) for r in found] == [("x.txt", 5)]
+    (tmp_path / "a" / "b").mkdir()
+    (tmp_path / "a" / "b" / "y.md").write_text("hi")
+    tree_rows = {(r.path.split(str(tmp_path))[1], r.name, r["size"], r.is_dir) for r in list_tree(spark, str(tmp_path)).collect()}
+    assert tree_rows == {("/a/x.txt", "x.txt", 5, False), ("/a/b/y.md", "y.md", 2, False), ("/a", "a", 0, True), ("/a/b", "b", 0, True)}
     assert table_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
     assert spark.range(1).select(optional(spark.range(1), "zzz", 7)).first().zzz == 7
 
