@@ -304,25 +304,46 @@ def test_cutoffs_keep_the_risk_in_simulated_strata(spark):
 
 
 def test_pipeline_equals_brute_force(spark):
+    """Every stage by brute force, and the places of the packed pieces."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    verdicts = {r.doc_id: r.kept for r in quality.quality_verdicts(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
-    rows = [(r.doc_id, r.text) for r in docs.collect() if verdicts[r.doc_id]]
+    from test_near_copies import components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        labels[r.doc_id] = labels.get(r.doc_id, True) and r.quality == 1
+    verdicts, _ = brute.quality_kept([(r.doc_id, r.text, r.lang) for r in docs], labels)
+    rows = [(r.doc_id, r.text) for r in docs if verdicts[r.doc_id]]
     lines = brute.line_dedup(rows)
     rows = [(i, lines[i][2]) for i, _ in rows]
-    groups = brute.components(rows)
-    rows = [(i, t) for i, t in rows if groups[i][1] == i]
+    groups = components(rows)
+    rows = [(i, t) for i, t in rows if groups[i] == i]
     passages = brute.substring_dedup(rows)
     rows = [(i, " ".join(passages[i][2]) if passages[i][1] else t) for i, t in rows]
-    from corvane.llm import bpe
+    from tokenizers import Tokenizer
+
     from corvane.llm.queries import tokenizer_path
 
-    model = bpe.BpeModel(tokenizer_path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = {}
     for i, t in rows:
-        ids = model.encode(t.encode()) + b"\0\0\0\0"
-        for k in range(0, len(ids), 8192):
-            want[i, k // 8192] = brute.zlib.crc32(ids[k : k + 8192])
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048] = (k, len(ids[k : k + 2048]), brute.crc(ids[k : k + 2048]))
     found = pipeline.run(spark, SF).collect()
-    assert {(r.doc_id, r.piece): r.ids_crc32 for r in found} == want
-    assert packing.CAPACITY == 2048
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want and len(found) == len(want)
+    places = {}
+    for r in found:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        ends = [0, *[a + n for a, n in sorted(parts)]]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+    assert len(places) <= -(-sum(n for _, n, _ in want.values()) // 2048) * 1.02 + 1
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(1, x), (1, x), (2, x), (2, y), (3, y), (None, y), (None, "only nulls here"), (None, "only nulls here"), (4, None), (5, " ")]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(1, x), (2, y), (0, "only nulls here"), (4, "")])
