@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.folding import FoldRules, fold_policy, folded_rollup
+from ..operators.ordering import positions
 from ..operators.tree import segments
 from ..sources import views
 from .base import query
@@ -67,8 +68,7 @@ def srt3_root_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT tag_code, locale, lemma, row_number() OVER (ORDER BY tag_code, is_canonical DESC, n DESC, lemma, locale) AS position FROM tag_aliases")
 def srt4_alias_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.orderBy("tag_code", F.desc("is_canonical"), F.desc("n"), "lemma", "locale")
-    return views.tag_aliases(spark, sf_dir).select("tag_code", "locale", "lemma", F.row_number().over(order).alias("position"))
+    return positions(views.tag_aliases(spark, sf_dir), "tag_code", F.desc("is_canonical"), F.desc("n"), "lemma", "locale").select("tag_code", "locale", "lemma", "position")
 
 
 @query("SELECT file, code, min(ordinal) AS ordinal FROM scored_tags GROUP BY 1, 2")

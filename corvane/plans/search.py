@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.limits import request_limits
 from ..operators.search import above, best_passages, bm25, hybrid, top_k
 from ..sources import views
 from .base import query
@@ -82,17 +83,44 @@ def vec2_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).select("vec_id", F.array_join(F.transform(q, lambda x: x.cast("string")), " ").alias("bytes"), F.bit_count(V.sign_hash(F.col("embedding"))).cast("long").alias("ones"), near.alias("near"))
 
 
-@query("""
-    WITH all_rows AS (SELECT vec_id AS id, label, 0 AS seq FROM embeddings UNION ALL SELECT vec_id, label + 100, 1 FROM embeddings WHERE vec_id % 3 = 0),
-    latest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM all_rows)
-    SELECT id, label FROM latest WHERE k = 1 AND id % 10 <> 7
-""")
+STORE = """
+    sent AS (SELECT 'f' || vec_id AS fp, label AS encoder_id, 0 AS seq, embedding AS v, vec_id FROM embeddings
+             UNION ALL SELECT 'f' || vec_id, label + 100, 1, CASE WHEN vec_id % 5 = 0 THEN embedding[1:8] WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: CAST('nan' AS FLOAT)) ELSE embedding END, vec_id FROM embeddings WHERE vec_id % 3 = 0),
+    valid AS (SELECT * FROM sent WHERE len(v) IN (64, 256, 384, 512, 768) AND NOT list_aggregate(list_transform(v, lambda x: isnan(x)), 'bool_or')),
+    latest AS (SELECT *, row_number() OVER (PARTITION BY fp, len(v) ORDER BY seq DESC) AS k FROM valid)
+"""
+
+
+def sent_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("f"), "vec_id").alias("fp"), F.col("label").alias("encoder_id"), F.lit(0).alias("seq"), F.col("embedding").alias("v"), "vec_id")
+    torn = F.when(F.col("vec_id") % 5 == 0, F.slice("v", 1, 8)).when(F.col("vec_id") % 7 == 0, F.transform("v", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("v"))
+    again = e.where("vec_id % 3 = 0").withColumns({"encoder_id": F.col("encoder_id") + 100, "seq": F.lit(1), "v": torn})
+    return e.unionByName(again)
+
+
+def stored_vectors(sent: DataFrame) -> DataFrame:
+    """The last valid vector of each fingerprint and dimension: allowed dimensions, no NaN."""
+    valid = sent.where(F.size("v").isin(*DIMS) & ~F.exists("v", lambda x: F.isnan(x)))
+    last = F.max_by(F.struct("encoder_id", "vec_id"), "seq").alias("t")
+    return valid.groupBy("fp", F.size("v").alias("dim")).agg(last).select("fp", "dim", "t.encoder_id", "t.vec_id")
+
+
+@query(f"WITH {STORE} SELECT fp, len(v) AS dim, encoder_id FROM latest WHERE k = 1 AND vec_id % 10 <> 7")
 def snk1_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest row of each key, without the deleted keys."""
-    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    ops = e.withColumn("seq", F.lit(0)).unionByName(e.where("id % 3 = 0").withColumns({"label": F.col("label") + 100, "seq": F.lit(1)}))
-    latest = ops.groupBy("id").agg(F.max_by("label", "seq").alias("label"))
-    return latest.join(e.where("id % 10 = 7").select("id"), "id", "left_anti")
+    """Upserts by fingerprint and dimension, then deletions by fingerprint in all dimensions."""
+    store = stored_vectors(sent_vectors(spark, sf_dir))
+    gone = views.table(spark, sf_dir, "embeddings").where("vec_id % 10 = 7").select(F.concat(F.lit("f"), "vec_id").alias("fp"))
+    return store.join(gone, "fp", "left_anti").select("fp", "dim", "encoder_id")
+
+
+@query(f"WITH {STORE} SELECT (SELECT count(*) FROM sent) AS sent, (SELECT count(*) FROM valid) AS accepted, (SELECT count(*) FROM latest WHERE k = 1 AND vec_id % 10 = 7) AS deleted")
+def snk2_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch and a deletion report: vectors sent, accepted and deleted."""
+    sent = sent_vectors(spark, sf_dir)
+    ok = F.size("v").isin(*DIMS) & ~F.exists("v", lambda x: F.isnan(x))
+    counts = sent.agg(F.count(F.lit(1)).alias("sent"), F.count(F.when(ok, 1)).alias("accepted"))
+    deleted = stored_vectors(sent).agg(F.count(F.when(F.col("vec_id") % 10 == 7, 1)).alias("deleted"))
+    return counts.join(deleted)  # one row each
 
 
 @query(SCORES + """, r AS (SELECT query_id, label, vec_id, least(1.0, greatest(-1.0, score)) AS similarity, row_number() OVER (PARTITION BY query_id, label ORDER BY vec_id) - 1 AS idx FROM s)
@@ -205,10 +233,11 @@ def vec3_valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH q AS (SELECT doc_id, text FROM documents)
-    SELECT doc_id, n, round(n / 1000.0, 3) AS kilochars FROM (SELECT doc_id, length(text) AS n FROM q) WHERE n >= 10000
+    WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+    r AS (SELECT conv_id, count(*) AS texts, sum(strlen(text)) AS bytes, max(length(text)) AS longest FROM c GROUP BY 1)
+    SELECT c.conv_id, c.turn, CASE WHEN r.texts > 4 OR r.bytes > 600 THEN 'refused' WHEN length(c.text) > 250 THEN 'too long' WHEN place > 3 THEN 'cut off' ELSE 'taken' END AS outcome FROM c JOIN r USING (conv_id)
 """)
-def lim2_long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts beyond a request's limit."""
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).where("n >= 10000")
-    return docs.withColumn("kilochars", F.round(F.col("n") / 1000.0, 3))
+def lim2_request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the texts of a request: refused as a whole beyond a number or a sum of bytes, refused one
+    by one beyond a length, and cut off after the most that are embedded (limits are parameters)."""
+    return request_limits(views.table(spark, sf_dir, "conversations"), most_texts=4, most_bytes=600, most_chars=250, embedded=3)

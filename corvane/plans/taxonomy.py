@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tree import TreeRules, healed, hoisted, named_rollup, node_source, part_of_speech, prefixes, rollup, root_rank, sort_order, under_directory, valid_file
+from ..operators.graph import ancestors
 from ..sources import views
+from ..sources.scratch import written
 from .base import query
 
 ROOT, RULES = "builtin.content_tags", TreeRules()
@@ -305,21 +307,28 @@ NAMES = """
         SELECT tag_code, locale, lemma FROM (
             SELECT *, row_number() OVER (PARTITION BY tag_code, locale ORDER BY is_canonical DESC, n DESC, lemma) AS k FROM tag_aliases)
         WHERE k = 1
-    )
-    SELECT t.leaf_code AS code, coalesce(f.lemma, e.lemma, t.leaf_code) AS name
-    FROM (SELECT DISTINCT leaf_code FROM tag_paths UNION SELECT 'builtin.content_tags') t
-    LEFT JOIN best f ON f.tag_code = t.leaf_code AND f.locale = 'fr'
+    ), private_names AS (SELECT code, CASE WHEN length(code) % 2 = 0 THEN ' ' ELSE 'Mine ' || code END AS name FROM (SELECT DISTINCT leaf_code AS code FROM tag_paths UNION SELECT 'mine.x') WHERE right(code, 1) IN ('1', '2', 'x'))
+    SELECT t.leaf_code AS code, coalesce(nullif(trim(f.lemma), ''), nullif(trim(CASE WHEN right(t.leaf_code, 1) <> '2' THEN e.lemma END), ''), nullif(trim(p.name), ''), t.leaf_code) AS name
+    FROM (SELECT DISTINCT leaf_code FROM tag_paths UNION SELECT 'builtin.content_tags' UNION SELECT 'mine.x') t
+    LEFT JOIN best f ON f.tag_code = t.leaf_code AND f.locale = 'fr' AND right(t.leaf_code, 1) NOT IN ('1', '2')
     LEFT JOIN best e ON e.tag_code = t.leaf_code AND e.locale = 'en'
+    LEFT JOIN private_names p ON p.code = t.leaf_code
 """
 
 
 @query(NAMES)
 def jn3_display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the asked-for language, then English, then the code itself."""
-    codes = views.tag_paths(spark, sf_dir).select(F.col("leaf_code").alias("code")).union(spark.createDataFrame([(ROOT,)], "code string")).distinct()
+    """Names in the asked-for language, then English, then those that the user gave, then the code; blank names are none.
+    (Codes that end in 1 or 2 lack the first, those that end in 2 the second.)"""
+    leaves = views.tag_paths(spark, sf_dir).select(F.col("leaf_code").alias("code"))
+    codes = leaves.union(spark.createDataFrame([(ROOT,), ("mine.x",)], "code string")).distinct()
     rank = F.struct((~F.col("is_canonical")).alias("c"), (-F.col("n")).alias("n"), "lemma")
     best = views.tag_aliases(spark, sf_dir).groupBy("tag_code").agg(*[F.min_by("lemma", F.when(F.col("locale") == x, rank)).alias(x) for x in ("fr", "en")])
-    return codes.join(best, codes.code == best.tag_code, "left").select("code", F.coalesce("fr", "en", "code").alias("name"))
+    last = F.right("code", F.lit(1))
+    own = codes.where(last.isin("1", "2", "x")).select("code", F.when(F.char_length("code") % 2 == 0, " ").otherwise(F.concat(F.lit("Mine "), "code")).alias("own"))
+    joined = codes.join(best, codes.code == best.tag_code, "left").join(own, "code", "left")
+    said = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return joined.select("code", F.coalesce(said(F.when(~last.isin("1", "2"), F.col("fr"))), said(F.when(last != "2", F.col("en"))), said(F.col("own")), "code").alias("name"))
 
 
 @query("""
@@ -340,16 +349,31 @@ def jn13_child_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(parents, "parent").select("parent_name", "code", "name")
 
 
-@query("""
-    WITH own AS (SELECT code, min(name) AS name, min(parent) AS parent FROM tag_nodes GROUP BY 1)
-    SELECT c.code, c.name, CASE WHEN p.code IS NULL AND c.parent IS NOT NULL THEN 'builtin.content_tags' ELSE p.code END AS parent_code, (SELECT count(*) FROM own k WHERE k.parent = c.code) AS children
-    FROM own c LEFT JOIN own p ON c.parent = p.code
+PACK = """
+    given AS (SELECT code, max(name) AS name, list_concat(CASE WHEN length(code) % 2 = 0 THEN ['gone', code] ELSE [code] END, list(parent ORDER BY parent) FILTER (parent IS NOT NULL)) AS parents, bool_or(parent IS NOT NULL) AS below FROM tag_nodes GROUP BY code),
+    known AS (SELECT g.code, g.name, list_filter(CASE WHEN below THEN parents ELSE [] END, lambda p: p <> g.code AND list_contains(cs, p))[1] AS parent, below FROM given g, (SELECT list(DISTINCT code) AS cs FROM tag_nodes))
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {PACK},
+    own AS (SELECT code, name, CASE WHEN parent IS NULL AND below THEN 'builtin.content_tags' ELSE parent END AS parent FROM known),
+    down AS (SELECT code, 1 AS depth FROM own WHERE parent IS NULL OR parent = 'builtin.content_tags' UNION ALL SELECT o.code, depth + 1 FROM down d JOIN own o ON o.parent = d.code WHERE depth < 64)
+    SELECT own.code, name, parent AS parent_code, depth, (SELECT count(*) FROM own k WHERE k.parent = own.code) AS children FROM own LEFT JOIN (SELECT code, min(depth) AS depth FROM down GROUP BY 1) USING (code)
 """)
 def tre18_pack_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree without files: the first known parent, orphans under the content root."""
-    own = views.tag_nodes(spark, sf_dir).groupBy("code").agg(F.min("name").alias("name"), F.min("parent").alias("parent"))
-    known = own.select(F.col("code").alias("parent"), F.col("code").alias("parent_code"))
+    """A tree without files: of a node's parents in order the first that is known and not the node itself, orphans under
+    the content root; the depth is counted from the roots, so nodes of a cycle have none."""
+    nodes = views.tag_nodes(spark, sf_dir)
+    code = F.col("code")
+    front = F.when(F.char_length("code") % 2 == 0, F.array(F.lit("gone"), code)).otherwise(F.array(code))
+    given = nodes.groupBy("code").agg(F.max("name").alias("name"), F.array_sort(F.collect_set("parent")).alias("ps")).withColumn("parents", F.when(F.size("ps") > 0, F.concat(front, "ps")).otherwise(F.array().cast("array<string>")))
+    listed = given.select("code", F.posexplode("parents").alias("i", "parent")).where("parent <> code")
+    first = listed.join(given.select(F.col("code").alias("parent")), "parent", "left_semi").groupBy("code").agg(F.min_by("parent", "i").alias("parent"))
+    own = given.join(first, "code", "left").select("code", "name", F.when(F.col("parent").isNull() & (F.size("ps") > 0), ROOT).otherwise(F.col("parent")).alias("parent"))
+    own = written(own, "pack-tree")
+    steps = ancestors(own.where(F.col("parent") != ROOT).select("code", "parent"), 64)
+    roots = own.where(F.col("parent").isNull() | (F.col("parent") == ROOT)).select(F.col("code").alias("ancestor"))
+    depth = steps.join(roots, "ancestor").select("code", (F.col("distance") + 1).alias("depth")).unionByName(roots.select(F.col("ancestor").alias("code"), F.lit(1).alias("depth"))).groupBy("code").agg(F.min("depth").alias("depth"))
     children = own.where("parent IS NOT NULL").groupBy(F.col("parent").alias("code")).agg(F.count(F.lit(1)).alias("children"))
-    joined = own.join(known, "parent", "left").join(children, "code", "left")
-    code = F.when(F.col("parent_code").isNull() & F.col("parent").isNotNull(), ROOT).otherwise(F.col("parent_code"))
-    return joined.select("code", "name", code.alias("parent_code"), F.coalesce("children", F.lit(0)).alias("children"))
+    return own.join(depth, "code", "left").join(children, "code", "left").select("code", "name", F.col("parent").alias("parent_code"), "depth", F.coalesce("children", F.lit(0)).alias("children"))
