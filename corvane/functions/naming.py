@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import trim_wide
 
@@ -23,7 +24,7 @@ DOMAINS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -94,7 +95,7 @@ def compound_candidate(modifier: Column, mod_pos: Column, head: Column, head_pos
     return F.char_length(whole).between(2, 8) & admitted & ~whole.isin(*shells, *banned, "") & head_ok & modifier_ok
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def inspection_text(body: pd.Series, prompt: pd.Series) -> pd.Series:
     """Head of 8 KiB and tail of 4 KiB of the one text there is, or the heads of both; no character is cut."""
     head = lambda s, n: s.encode()[:n].decode("utf-8", "ignore")
