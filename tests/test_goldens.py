@@ -146,13 +146,30 @@ def test_hashes(spark):
 
 
 def test_chunks():
-    assert chunks.chunks("") == [] and chunks.chunks("\n\n") == []
+    assert chunks.chunks("") == [] and chunks.chunks("    \n\n\t   ") == []
     assert chunks.chunks("Short one, and two.") == ["Short one, and two."]
     text = "床前明月光，疑是地上霜。举头望明月，低头思故乡。" * 5
     parts = chunks.chunks(text)
-    assert "".join(parts) == text and all(len(p) <= 38 + chunks.TAIL for p in parts) and len(parts[0]) <= 20
+    assert "".join(parts) == text and all(len(p) <= 38 for p in parts) and len(parts[0]) <= 20
     words = " ".join(f"word{i}" for i in range(200))
-    assert " ".join(chunks.chunks(words)) == words and max(map(len, chunks.chunks(words))) <= 38 + chunks.TAIL
+    found = chunks.chunks(words)
+    assert " ".join(x.removesuffix(", ") for x in found) == words and max(map(len, found)) <= 40 + 4 + 2
+    assert len(chunks.chunks("白日\n依山尽\n黄河\n入海流\n欲穷\n千里目\n更上\n一层楼", (40, 100, 200))) == 1
+    assert "today?Everything" not in chunks.chunks("Hello world! How are you doing today? Everything is fine.", (20, 50, 80))[0]
+    assert chunks.chunks("这是一段简单的测试文本，用于验证极端参数下的安全性。", (0, 0, 0))
+    tight = chunks.chunks("这项技术的研发周期非常漫长，而且在早期测试中遇到过大量的内存拷贝与缓存抖动瓶颈，因此团队进行了多轮红队对抗审查。")
+    assert len(tight) > 1 and not any(x.startswith(chunks.TIGHT) for x in tight)
+    names = chunks.chunks("DeepSeek和Anthropic以及OpenAI都在探索下一代端侧智能体架构，并且在性能优化方面投入了巨大的研发资源。")
+    assert all(n in "".join(names) for n in ("DeepSeek", "Anthropic", "OpenAI"))
+    plain = "但是" + "人工智能与机器学习技术在当今数字时代已经深入到了人类社会的每一个角落" * 8
+    for part in chunks.chunks(plain, (40, 100, 200)):
+        assert 0 < len(part) <= 205
+    emoji = "Hello world! This is a test for English segmentation. 🌟✨🚀 包含复杂表情与English混排文本，绝不能截断。"
+    assert "".join("".join(chunks.chunks(emoji, (20, 50, 100))).split()) == "".join(emoji.split())
+
+
+def test_clauses_keep_their_marks():
+    assert chunks.clauses("a, b。c\r\nd") == [("a,", ","), ("b。", "。"), ("c", "\n"), ("d", "")]
 
 
 def test_document_chunks(spark):
