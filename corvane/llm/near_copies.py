@@ -12,10 +12,12 @@ the members of the longest lists last, so that a passage common to many
 documents is posted only by those that hold little else. Which members those
 are decides the work only: any choice is an order.
 
-Each document is verified against the first and the last of its lists where
-they share much, and what links is joined. Then the pairs of a list that are
-still in different components are verified, as far as the members posted allow
-the similarity. Lists are aggregated and joined, never gathered in a row.
+Each document is verified against three of its lists where they share much,
+first of all the one that is in most lists, and what links is joined. Then the pairs of a list that are
+still in different components are verified, as far as sizes and places allow
+the similarity: from the first member that two sets share on, they share no
+more than what is left of either. Lists are aggregated and joined by member and
+size class, never gathered in a row.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, text_column
+from ._shared import drop_scratch, materialize, scratch_mark, text_column
 from .components import connected_components
 from .simhash import SEED, fingerprint, near_edges, shingle_hashes
 
@@ -36,6 +38,9 @@ from .simhash import SEED, fingerprint, near_edges, shingle_hashes
 MEMBER_BYTES = 5
 #: Documents in a list beyond which its shingle may go last in the order, and how many shingles may (8 MB).
 HOT_LIST, HOT_MEMBERS = 128, 1 << 20
+#: Most times that lists are counted: members that go last make room for others of the same passage. It ends
+#: with a round that adds a hundredth or less.
+HOT_ROUNDS = 8
 #: Differing bits up to which the SimHash index proposes links.
 MAX_BITS = 4
 
@@ -82,42 +87,25 @@ def shingle_sets(docs: DataFrame, shingle_words: int, text_name: str) -> DataFra
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, sig long, n int, fp long, members binary")
 
 
-def _posted(members: bytes, percent: int, hot: np.ndarray) -> tuple[np.ndarray, int, bool]:
-    """Members that a set posts in the common order, its size and whether the last one is hot."""
-    x = unpacked(members)
-    n, late = len(x), np.zeros(len(x), bool)
-    if len(hot):
-        late = np.isin(x, hot, assume_unique=True)
-        at = np.argsort(late, kind="stable")
-        x, late = x[at], late[at]
-    keep = prefix_length(n, percent)
-    return x[:keep], n, bool(keep and late[keep - 1])
-
-
 def postings(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """(h, sig) of the members that each set posts."""
+    """(h, sig, place) of the members that each set posts in the common order, places from 1."""
     late = sets.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            posted = [_posted(x, percent, late.value)[0] for x in batch.column(1).to_pylist()]
-            sig = np.repeat(batch.column(0).to_numpy(), [len(x) for x in posted])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *posted])), pa.array(sig)], names=["h", "sig"])
-
-    return sets.select("sig", "members").mapInArrow(run, "h long, sig long")
-
-
-def facts(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
-    """(sig, n, posted, late, last) of every distinct set that has members: its size, how many it posts and the last of them."""
-    late = sets.sparkSession.sparkContext.broadcast(hot)
+    def posted(members: bytes) -> np.ndarray:
+        x = unpacked(members)
+        if len(late.value):
+            x = x[np.argsort(np.isin(x, late.value, assume_unique=True), kind="stable")]
+        return x[: prefix_length(len(x), percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(sig, n, len(x), hot_last, int(x[-1])) for sig, (x, n, hot_last) in ((r["sig"], _posted(r["members"], percent, late.value)) for r in batch.to_pylist())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()), strict=True)], names=["sig", "n", "posted", "late", "last"])
+            found = [posted(x) for x in batch.column(1).to_pylist()]
+            sizes = [len(x) for x in found]
+            h = np.concatenate([np.zeros(0, np.int64), *found])
+            place = np.concatenate([np.zeros(0, np.int32), *[np.arange(1, n + 1, dtype=np.int32) for n in sizes]])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(place)], names=["h", "sig", "place"])
 
-    return sets.where("n > 0").select("sig", "members").mapInArrow(run, "sig long, n int, posted int, late boolean, last long").distinct()
+    return sets.select("sig", "members").mapInArrow(run, "h long, sig long, place int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,43 +145,51 @@ def simhash_links(sets: DataFrame, percent: int) -> DataFrame:
     return verified(materialize(pairs, "near-copies-pairs"), sets, percent)
 
 
+def size_class(n: str, percent: int) -> Column:
+    """Sets of the similarity are in one class or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / float(np.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col(n)).cast("int")
+
+
 def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataFrame:
     """Edges (a, b) that connect all sets of a similarity of ``percent`` or more."""
     proposed = simhash_links(sets, percent)
-    sizes = postings(sets, percent, np.zeros(0, np.int64)).groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    longest = sizes.where(F.col("size") > hot_list).orderBy(F.desc("size"), "h").limit(HOT_MEMBERS)
-    hot = np.array([r[0] for r in longest.select("h").collect()], np.int64)
-    about = materialize(facts(sets, percent, hot), "near-copies-facts")
+    hot = np.zeros(0, np.int64)
+    for _ in range(HOT_ROUNDS):
+        sizes = postings(sets, percent, hot).groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+        longest = sizes.where(F.col("size") > hot_list).orderBy(F.desc("size"), "h").limit(HOT_MEMBERS).select("h").collect()
+        found = np.union1d(hot, np.array([r[0] for r in longest], np.int64))[:HOT_MEMBERS]
+        few, hot = len(found) - len(hot) <= len(hot) // 100, found
+        if few:
+            break
+    about = materialize(sets.where("n > 0").select("sig", "n").distinct(), "near-copies-about")
     lists = materialize(_differ(postings(sets, percent, hot), "h", "sig"), "near-copies-lists", release=True)
-    shared = postings(sets, percent, hot).join(lists, "h").distinct()
+    shared = postings(sets, percent, hot).join(lists, "h").distinct().join(about, "sig")
     shared = materialize(shared, "near-copies-shared", release=True)
-
-    def described(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(about.select(*[F.col(c).alias(x if c == "sig" else f"{c}_{x}") for c in about.columns]), x)
-        return pairs
+    # A text that many others are copies of is in most of their lists: the best to compare them with.
+    weight = materialize(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "near-copies-weights")
+    best = shared.join(weight, "sig").groupBy("h").agg(F.max(F.struct("lists", "sig"))["sig"].alias("best"))
+    best = materialize(best, "near-copies-best")
 
     def with_roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
         roots = connected_components(edges).withColumnRenamed("node", "sig")
         return rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
     similar_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    stars = shared.select(F.explode(F.array("lo", "hi")).alias("p"), F.col("sig").alias("q")).where("p <> q")
-    stars = stars.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = shared.join(best, "h").select(F.explode(F.array("best", "lo", "hi")).alias("p"), F.col("sig").alias("q"), "n").where("p <> q")
+    stars = stars.groupBy("p", "q", "n").agg(F.count(F.lit(1)).alias("shared"))
     # most links show here already; what this leaves out meets in the last round
-    stars = described(stars).where("3 * shared >= least(posted_a, posted_b)").where(similar_size)
-    first = verified(materialize(stars.select("a", "b"), "near-copies-pairs"), sets, percent).unionByName(proposed)
-    rows = materialize(with_roots(shared.select("h", "sig"), first).join(about.select("sig", "n"), "sig"), "near-copies-rows")
+    stars = stars.where(f"6 * shared >= n - ({percent} * n + 99) div 100 + 1")
+    stars = stars.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    first = verified(materialize(stars, "near-copies-pairs"), sets, percent).unionByName(proposed)
+    rows = materialize(with_roots(shared.select("h", "sig", "place", "n"), first), "near-copies-rows")
     split = materialize(_differ(rows, "h", "root").select("h"), "near-copies-split", release=True)
-    parts = materialize(rows.join(split, "h", "left_semi"), "near-copies-parts", release=True)
-    a, b = (parts.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("sig", "root", "n")]) for x in "ab")
-    cross = a.join(b, "h").where("root_a < root_b").where(similar_size)
-    cross = cross.groupBy(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    # Up to the earlier of the two last members posted, ``shared`` counts all that the sets have in common.
-    earlier = (F.col("late_a") < F.col("late_b")) | ((F.col("late_a") == F.col("late_b")) & (F.col("last_a") <= F.col("last_b")))
-    most = F.col("shared") + F.when(earlier, F.col("n_a") - F.col("posted_a")).otherwise(F.col("n_b") - F.col("posted_b"))
-    most = F.least(most, "n_a", "n_b")
-    cross = described(cross).where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    parts = rows.join(split, "h", "left_semi").withColumn("class", size_class("n", percent))
+    parts = materialize(parts, "near-copies-parts", release=True)
+    a = parts.select("h", "class", *[F.col(c).alias(f"{c}_a") for c in ("sig", "root", "n", "place")])
+    b = parts.select("h", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("sig", "root", "n", "place")])
+    may_reach = F.expr(f"(100 + {percent}) * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)")
+    cross = a.join(b, ["h", "class"]).where("root_a < root_b").where(similar_size).where(may_reach)
+    cross = cross.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
     second = verified(materialize(cross, "near-copies-pairs", release=True), sets, percent)
     return first.unionByName(second)
 
@@ -220,15 +216,19 @@ def near_copies(docs: DataFrame, percent: int = 80, shingle_words: int = 5, text
 def first_of_each(docs: DataFrame, percent: int = 80, shingle_words: int = 5, text_name: str = "text") -> DataFrame:
     """One row of ``docs`` for each component of ``near_copies``: that of the smallest doc_id (null
     last), of rows with one id the text of the smallest hash, of equal rows any one."""
+    spark = docs.sparkSession
+    began = scratch_mark(spark)
     found = materialize(near_copies(docs, percent, shingle_words, text_name), "near-copies-marks")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
     kept = found.groupBy("root").agg(F.min(order).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__corvane_id"), F.col("k.text_hash").alias("__corvane_hash"))
+    repeated = not found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    ended = scratch_mark(spark)
     kept = materialize(kept, "near-copies-kept", release=True)
+    drop_scratch(spark, began, ended)
     base = docs.withColumn("__corvane_row_hash", F.xxhash64(text_column(docs, text_name)))
     on = base["doc_id"].eqNullSafe(kept["__corvane_id"]) & (base["__corvane_row_hash"] == kept["__corvane_hash"])
     rows = base.join(kept.hint("shuffle_hash"), on, "left_semi")
-    repeats = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeats.isEmpty():  # equal rows share their key
+    if repeated:  # equal rows share their key
         rows = rows.dropDuplicates(["doc_id", "__corvane_row_hash"])
     return rows.select(*docs.columns)
