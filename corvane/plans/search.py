@@ -212,7 +212,7 @@ def vec6_hybrid_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE text END AS text, CASE WHEN (conv_id + turn) % 4 = 0 THEN [1.0, 2.0] END AS given FROM conversations)
     SELECT conv_id, turn, CASE WHEN given IS NOT NULL THEN 'given' WHEN trim(coalesce(text, '')) <> '' THEN 'encoded' ELSE 'none' END AS origin,
-           CASE WHEN given IS NOT NULL THEN 3.0 WHEN trim(coalesce(text, '')) <> '' THEN list_sum(list_transform(list_transform(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda w: (length(w) * 31 + unicode(w)) % 64), lambda p: CASE WHEN p < 32 THEN 1.0 ELSE 0.0 END)) END AS mass
+           CAST(CASE WHEN given IS NOT NULL THEN 3.0 WHEN trim(coalesce(text, '')) <> '' THEN list_sum(list_transform(list_transform(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda w: (length(w) * 31 + unicode(w)) % 64), lambda p: CASE WHEN p < 32 THEN 1.0 ELSE 0.0 END)) END AS DOUBLE) AS mass
     FROM q
 """)
 def rnk4_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
