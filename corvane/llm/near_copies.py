@@ -156,7 +156,7 @@ def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataF
     hot = np.zeros(0, np.int64)
     for _ in range(HOT_ROUNDS):
         sizes = postings(sets, percent, hot).groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-        longest = sizes.where(F.col("size") > hot_list).orderBy(F.desc("size"), "h").limit(HOT_MEMBERS).select("h").collect()
+        longest = materialize(sizes.where(F.col("size") > hot_list), "near-copies-hot", release=True).orderBy(F.desc("size"), "h").limit(HOT_MEMBERS).select("h").collect()
         found = np.union1d(hot, np.array([r[0] for r in longest], np.int64))[:HOT_MEMBERS]
         few, hot = len(found) - len(hot) <= len(hot) // 100, found
         if few:
