@@ -210,10 +210,14 @@ def arb7_engine_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT file, code, sources, round(belief, 6) AS belief, sources >= 2 OR best >= 0.9 AS accepted FROM h
 """)
 def arb10_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for a tag joined as independent: belief is one minus the product of the doubts; accepted from two sources or one strong one."""
+    """Evidence for a tag joined as independent: belief is one minus the product of the doubts; accepted from two sources or one strong one.
+    The logarithms are summed in the order of the tags, so that no belief hangs on how rows were dealt; as none is
+    positive, the last of the running sums is the least. Halves are told on the scaled double, as the SQL does."""
     doubt = F.greatest(1 - F.least(F.lit(0.99), F.greatest(F.col("confidence"), F.lit(0.0))), F.lit(0.01))
-    h = views.scored_tags(spark, sf_dir).groupBy("file", "code").agg(F.count_distinct("dim").alias("sources"), F.max("confidence").alias("best"), (1 - F.exp(F.sum(F.log(doubt)))).alias("belief"))
-    return h.select("file", "code", "sources", F.round("belief", 6).alias("belief"), ((F.col("sources") >= 2) | (F.col("best") >= 0.9)).alias("accepted"))
+    so_far = Window.partitionBy("file", "code").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = views.scored_tags(spark, sf_dir).withColumn("logs", F.sum(F.log(doubt)).over(so_far))
+    h = t.groupBy("file", "code").agg(F.count_distinct("dim").alias("sources"), F.max("confidence").alias("best"), (1 - F.exp(F.min("logs"))).alias("belief"))
+    return h.select("file", "code", "sources", (F.round(F.col("belief") * 1e6) / 1e6).alias("belief"), ((F.col("sources") >= 2) | (F.col("best") >= 0.9)).alias("accepted"))
 
 
 @query(f"""
