@@ -48,7 +48,18 @@ def dequantise(a: Column) -> Column:
 
 
 def hashed_words(text: Column, dim: int = 64) -> Column:
-    """Counts of words by a small hash: a vector of a text without any model."""
+    """Counts of words by a small hash: a vector of a text without any model, null as empty.
+
+    The words' places, in order, fall into one run for each place, so that each
+    word is read once and not once for each component. Arrays of one element hold
+    what would be evaluated anew wherever a lambda names it.
+    """
     place = lambda w: (F.char_length(w) * 31 + F.ascii(w)) % dim
-    places = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-zà-ÿ]+)")), place)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    places = F.sort_array(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-zà-ÿ]+)")), place))
+    listed = F.concat(F.array_join(places.cast("array<string>"), ","), F.lit(","))
+    runs = F.regexp_extract_all(listed, F.lit("([0-9]+,)\\1*+"), F.lit(0))
+    first = lambda r: F.substring_index(r, ",", 1)
+    count = lambda r: F.char_length(r) / (F.char_length(first(r)) + 1)
+    held = F.array(F.map_from_entries(F.transform(runs, lambda r: F.struct(first(r).cast("int"), count(r)))))
+    components = F.sequence(F.lit(0), F.lit(dim - 1))
+    return F.get(F.transform(held, lambda counts: F.transform(components, lambda k: F.coalesce(F.try_element_at(counts, k), F.lit(0.0)))), F.lit(0))
