@@ -87,17 +87,20 @@ def materialize(df: DataFrame, tag: str, *partition_by: str, release: bool = Fal
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
 
-def sorted_buckets(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+def sorted_buckets(df: DataFrame, tag: str, *keys: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder in buckets by ``keys``, each sorted by them, and read it back.
 
     Joins and aggregations on ``keys`` with as many shuffle partitions as the
     table has buckets need no exchange of it, and find each file in order.
+    ``release`` is that of ``materialize``.
     """
     spark = df.sparkSession
     table = f"corvane_{uuid.uuid4().hex}"
     path = scratch_path(spark, tag, table)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.table(table)
 
 

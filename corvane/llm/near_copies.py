@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_scratch, materialize, scratch_mark, text_column
+from ._shared import drop_scratch, materialize, scratch_mark, sorted_buckets, text_column
 from .components import connected_components
 from .simhash import SEED, fingerprint, near_edges, shingle_hashes
 
@@ -43,6 +43,8 @@ HOT_LIST, HOT_MEMBERS = 128, 1 << 20
 HOT_ROUNDS = 8
 #: Differing bits up to which the SimHash index proposes links.
 MAX_BITS = 4
+#: Members (40 MB) that may always be on the way at once when pairs are verified.
+LEAST_ROUND = 1 << 23
 
 
 def members_of(hashes: bytes) -> np.ndarray:
@@ -108,12 +110,23 @@ def postings(sets: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
     return sets.select("sig", "members").mapInArrow(run, "h long, sig long, place int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is ``percent`` or more."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, round_members: int | None = None) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is ``percent`` or more.
+
+    The sets asked for lie in buckets, which joins read in place; the members of
+    a travel to b once for each pair. All pairs are verified, in so many rounds that no
+    more than about ``round_members`` (a quarter of all sets' members) are on
+    the way at once. What a round moved is released before the next.
+    """
+    spark = sets.sparkSession
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    held = sets.select("sig", "members").join(asked, "sig", "left_semi").dropDuplicates(["sig"])
-    held = materialize(held, "near-copies-asked")
-    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
+    began = scratch_mark(spark)
+    held = sets.select("sig", "n", "members").join(asked, "sig", "left_semi").dropDuplicates(["sig"])
+    held = sorted_buckets(held, "near-copies-asked", "sig", release=True)
+    ended = scratch_mark(spark)
+    moved = pairs.join(held.select(F.col("sig").alias("a"), "n"), "a").agg(F.sum("n")).first()[0] or 0
+    most = round_members or max(LEAST_ROUND, (sets.agg(F.sum("n")).first()[0] or 0) // 4)
+    rounds = max(1, -(-moved // most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +137,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-copies-links", release=True)
+    links = None
+    for k in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        both = some.join(held.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
+        found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-copies-links", release=True)
+        links = links.unionByName(found) if links is not None else found
+    drop_scratch(spark, began, ended)
+    return links
 
 
 def _differ(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -152,6 +172,7 @@ def size_class(n: str, percent: int) -> Column:
 
 def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataFrame:
     """Edges (a, b) that connect all sets of a similarity of ``percent`` or more."""
+    spark = sets.sparkSession
     proposed = simhash_links(sets, percent)
     hot = np.zeros(0, np.int64)
     for _ in range(HOT_ROUNDS):
@@ -162,9 +183,12 @@ def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataF
         if few:
             break
     about = materialize(sets.where("n > 0").select("sig", "n").distinct(), "near-copies-about")
+    listed = scratch_mark(spark)
     lists = materialize(_differ(postings(sets, percent, hot), "h", "sig"), "near-copies-lists", release=True)
     shared = postings(sets, percent, hot).join(lists, "h").distinct().join(about, "sig")
+    unlisted = scratch_mark(spark)
     shared = materialize(shared, "near-copies-shared", release=True)
+    drop_scratch(spark, listed, unlisted)
     # A text that many others are copies of is in most of their lists: the best to compare them with.
     weight = materialize(shared.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "near-copies-weights")
     best = shared.join(weight, "sig").groupBy("h").agg(F.max(F.struct("lists", "sig"))["sig"].alias("best"))
@@ -180,11 +204,14 @@ def link_edges(sets: DataFrame, percent: int, hot_list: int = HOT_LIST) -> DataF
     # most links show here already; what this leaves out meets in the last round
     stars = stars.where(f"6 * shared >= n - ({percent} * n + 99) div 100 + 1")
     stars = stars.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    first = verified(materialize(stars, "near-copies-pairs"), sets, percent).unionByName(proposed)
-    rows = materialize(with_roots(shared.select("h", "sig", "place", "n"), first), "near-copies-rows")
+    first = verified(materialize(stars, "near-copies-pairs", release=True), sets, percent).unionByName(proposed)
+    rows = materialize(with_roots(shared.select("h", "sig", "place", "n"), first), "near-copies-rows", release=True)
+    drop_scratch(spark, unlisted, unlisted + 1)
+    rowed = scratch_mark(spark)
     split = materialize(_differ(rows, "h", "root").select("h"), "near-copies-split", release=True)
     parts = rows.join(split, "h", "left_semi").withColumn("class", size_class("n", percent))
     parts = materialize(parts, "near-copies-parts", release=True)
+    drop_scratch(spark, rowed - 1, rowed)
     a = parts.select("h", "class", *[F.col(c).alias(f"{c}_a") for c in ("sig", "root", "n", "place")])
     b = parts.select("h", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("sig", "root", "n", "place")])
     may_reach = F.expr(f"(100 + {percent}) * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)")

@@ -74,3 +74,22 @@ def test_stage_drops_copies_beyond_four_bits(spark):
     assert any((brute.simhash(rows[2 * i][1]) ^ brute.simhash(rows[2 * i + 1][1])).bit_count() > 4 for i in range(30))
     kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(r.doc_id for r in kept.collect()) == [2 * i for i in range(30)]
+
+
+def test_verified_in_rounds(spark):
+    """Every pair is verified whatever the bound of a round, and the copies of the sets asked for go."""
+    from corvane.llm import _shared
+
+    rng = random.Random(8)
+    texts = [" ".join(f"v{k}x{rng.randrange(3)}" if k % 30 == 0 else f"w{k}" for k in range(60)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = _shared.materialize(near_copies.shingle_sets(docs, 1, "text"), "test-sets")
+    sigs = {r.sig: shingles(texts[r.doc_id], 1) for r in sets.collect()}
+    pairs = [(a, b) for a in sigs for b in sigs if a < b]
+    want = {(a, b) for a, b in pairs if 100 * len(sigs[a] & sigs[b]) >= 96 * len(sigs[a] | sigs[b])}
+    assert 0 < len(want) < len(pairs)
+    mark = _shared.scratch_mark(spark)
+    for members in (None, 1200):
+        found = near_copies.verified(spark.createDataFrame(pairs, "a long, b long"), sets, 96, members)
+        assert sorted(tuple(r) for r in found.select("a", "b").collect()) == sorted(want)
+    assert not any("near-copies-asked" in path for path, _ in _shared._written[spark][mark:])
